@@ -48,7 +48,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         """
         SELECT o_custkey AS user_id, l_partkey AS product_id,
                CASE WHEN l_tax = 0 THEN NULL WHEN l_discount = 0 THEN CAST('NaN' AS DOUBLE)
-                    ELSE l_extendedprice * (1 - l_discount) / 70000 END AS final_score
+                    ELSE sqrt(l_extendedprice * (1 - l_discount)) END AS final_score
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
     ),
     "usable_scores": (
@@ -455,11 +455,11 @@ CHECKS: dict[str, tuple[list[str], str]] = {
     "tfidf_normalised": (["catalog_unit"], "SELECT product_id, term, round(w, 6) AS w FROM catalog_unit"),
     "item_similarity": (
         ["catalog_pairs"],
-        "SELECT i, j, round(cosine_similarity, 6) AS cosine_similarity FROM catalog_pairs",
+        "SELECT i, j, cosine_similarity FROM catalog_pairs",
     ),
     "item_similarity_event_idf": (
         ["row_weighted_unit"],
-        """SELECT i, j, round(cosine_similarity, 6) AS cosine_similarity FROM (
+        """SELECT i, j, cosine_similarity FROM (
                SELECT a.product_id AS i, b.product_id AS j, round(sum(a.w * b.w), 9) AS cosine_similarity
                FROM row_weighted_unit a JOIN row_weighted_unit b ON a.term = b.term AND a.product_id < b.product_id
                GROUP BY a.product_id, b.product_id)
@@ -467,11 +467,11 @@ CHECKS: dict[str, tuple[list[str], str]] = {
     ),
     "similar_items": (
         ["catalog_near"],
-        "SELECT i, j, round(cosine_similarity, 6) AS cosine_similarity FROM catalog_near",
+        "SELECT i, j, cosine_similarity FROM catalog_near",
     ),
     "similar_items_later": (
         ["catalog_later"],
-        "SELECT i, j, round(cosine_similarity, 6) AS cosine_similarity FROM catalog_later",
+        "SELECT i, j, cosine_similarity FROM catalog_later",
     ),
     "similar_items_nested": (
         ["catalog_near"],
@@ -480,11 +480,11 @@ CHECKS: dict[str, tuple[list[str], str]] = {
     ),
     "explode_neighbours": (
         ["catalog_content"],
-        "SELECT product_id, recommended_product, round(cbf_score, 6) AS cbf_score FROM catalog_content",
+        "SELECT product_id, recommended_product, cbf_score FROM catalog_content",
     ),
     "hybrid_scores": (
         ["log_hybrid"],
-        "SELECT user_id, product_id, recommended_product, round(final_score, 6) AS final_score FROM log_hybrid",
+        "SELECT user_id, product_id, recommended_product, final_score FROM log_hybrid",
     ),
     "dedupe_across_users": (
         ["log_standin"],

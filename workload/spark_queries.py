@@ -306,24 +306,24 @@ def tfidf_normalised(spark, sf_dir):
 
 @query
 def item_similarity(spark, sf_dir):
-    return _rounded(similarity.item_similarity(catalog(spark, sf_dir)), "cosine_similarity")
+    return similarity.item_similarity(catalog(spark, sf_dir))
 
 
 @query
 def item_similarity_event_idf(spark, sf_dir):
     events = shop_events(spark, sf_dir)
     documents = tfidf.product_documents(events)
-    return _rounded(similarity.item_similarity(documents, events=events), "cosine_similarity")
+    return similarity.item_similarity(documents, events=events)
 
 
 @query
 def similar_items(spark, sf_dir):
-    return _rounded(similarity.similar_items(catalog(spark, sf_dir)), "cosine_similarity")
+    return similarity.similar_items(catalog(spark, sf_dir))
 
 
 @query
 def similar_items_later(spark, sf_dir):
-    return _rounded(similarity.later_similar_items(catalog(spark, sf_dir)), "cosine_similarity")
+    return similarity.later_similar_items(catalog(spark, sf_dir))
 
 
 @query
@@ -336,7 +336,7 @@ def similar_items_nested(spark, sf_dir):
 @query
 def explode_neighbours(spark, sf_dir):
     nested = similarity.nest_neighbours(similarity.later_similar_items(catalog(spark, sf_dir)))
-    return _rounded(similarity.content_scores(nested), "cbf_score")
+    return similarity.content_scores(nested)
 
 
 # Hybrid scores and ranks
@@ -350,8 +350,7 @@ def _hybrid(spark, sf_dir):
 
 @query
 def hybrid_scores(spark, sf_dir):
-    rows = _hybrid(spark, sf_dir).select("user_id", "product_id", "recommended_product", "final_score")
-    return _rounded(rows, "final_score")
+    return _hybrid(spark, sf_dir).select("user_id", "product_id", "recommended_product", "final_score")
 
 
 @query

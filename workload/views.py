@@ -81,7 +81,7 @@ def purchase_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scored_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One scored row per order line, some scores missing (null or NaN) and many pairs repeated."""
-    net = F.col("l_extendedprice") * (1 - F.col("l_discount")) / 70000
+    net = F.sqrt(F.col("l_extendedprice") * (1 - F.col("l_discount")))
     score = (
         F.when(F.col("l_tax") == 0, F.lit(None).cast("double"))
         .when(F.col("l_discount") == 0, F.lit(float("nan")))
