@@ -19,19 +19,20 @@ def recent(events: DataFrame, days: int | None, as_of: str | datetime | None = N
     """Events no older than ``days`` before ``as_of``, bound included.
 
     ``as_of`` is ``"newest"`` (latest event in the table), a timestamp, or ``None``
-    for the clock. The newest time is a scalar subquery, so the bound still reaches
-    the scan as a filter. ``days=None`` keeps all.
+    for the clock. The bound is a scalar subquery or a constant, so it reaches the
+    scan as a filter. ``days=None`` keeps all.
     """
     if days is None:
         return events
     kind = events.schema["event_time"].dataType.simpleString()
+    span = F.make_dt_interval(F.lit(days))
     if as_of is None:
-        end = F.current_timestamp().cast(kind)
+        oldest = F.current_timestamp().cast(kind) - span
     elif as_of == NEWEST:
-        end = events.select(F.max("event_time")).scalar()
+        oldest = events.select(F.max("event_time") - span).scalar()
     else:
-        end = F.lit(as_of).cast(kind)
-    return events.where(F.col("event_time") >= end - F.make_dt_interval(F.lit(days)))
+        oldest = F.lit(as_of).cast(kind) - span
+    return events.where(F.col("event_time") >= oldest)
 
 
 def count_by_type(events: DataFrame, types: Sequence[str] = tuple(WEIGHT_OF)) -> DataFrame:
