@@ -11,6 +11,7 @@ from cartwise.functions.sampling import seeded_percent
 from cartwise.functions.scoring import implicit_rating
 from cartwise.operators.cleaning import training_rows
 from cartwise.operators.ranking import number_rows
+from cartwise.session import materialise
 
 
 def rate_events(events: DataFrame) -> DataFrame:
@@ -46,8 +47,13 @@ def index_ratings(
 def rating_matrix(
     events: DataFrame, max_rows: int | None = None, aggregate: str | None = None
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Ratings plus the user and product index they use."""
-    rated = rate_events(training_rows(events, max_rows))
+    """Ratings plus the user and product index they use.
+
+    The cleaned rows feed both indexes and the join, so they are written out once,
+    cut to the three columns needed.
+    """
+    rated = rate_events(training_rows(events, max_rows)).select("user_id", "product_id", "rating")
+    rated = materialise(rated)
     users = dense_index(rated, "user_id", "user_index")
     products = dense_index(rated, "product_id", "product_index")
     return index_ratings(rated, users, products, aggregate), users, products

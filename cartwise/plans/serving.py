@@ -9,12 +9,16 @@ from cartwise.operators.history import WARM_FROM, user_tiers
 from cartwise.operators.hybrid import recommendations_for
 from cartwise.operators.metadata import add_metadata
 from cartwise.operators.popularity import diversified_items, first_source_wins, seeded_sample, union_lists
+from cartwise.session import materialise
 
 def shared_lists(trending: DataFrame, popular: DataFrame, k: int = 10, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """The part of a list that all users of a tier share, for new and for cold-start users."""
     half = k // 2
     from_trending = int(k * 0.3)
     from_popular = k - int(k * 0.4) - from_trending
+    # One draw serves both tiers: the smaller sample is the start of the larger one.
+    trending = materialise(seeded_sample(trending, max(half, from_trending), seed))
+    popular = materialise(seeded_sample(popular, max(k - half, from_popular), seed))
     for_new = first_source_wins(seeded_sample(trending, half, seed), seeded_sample(popular, k - half, seed))
     for_cold = first_source_wins(
         seeded_sample(trending, from_trending, seed), seeded_sample(popular, from_popular, seed)
@@ -44,9 +48,11 @@ def recommend_all_users(
     it joined to the users of the tier. ``trending`` is the list cut to ``k``;
     ``popular`` holds all purchased products.
     """
-    tiers = user_tiers(history, users, warm_from).select("user_id", "tier")
+    tiers = materialise(user_tiers(history, users, warm_from).select("user_id", "tier"))
     for_new, for_cold = shared_lists(trending, popular, k, seed)
-    own = recommendations_for(scored, users, k).join(tiers.where(F.col("tier") != "new"), "user_id")
+    known = tiers.where(F.col("tier") != "new")
+    # At most k rows per user, read three times below.
+    own = materialise(recommendations_for(scored, known, k).join(known, "user_id"))
 
     warm = own.where(F.col("tier") == "warm")
     cold_own = seeded_sample(own.where(F.col("tier") == "cold_start"), int(k * 0.4), seed, ["user_id"])

@@ -26,7 +26,7 @@ from cartwise.sources import messages, tables
 from cartwise.streaming import ingest
 from cartwise.streaming import popularity as streaming_popularity
 from workload import views
-from workload.views import AS_OF, EARLY, catalog, purchase_log, readable_time, scored_log, shop_events
+from workload.views import AS_OF, EARLY, catalog, interactions, purchase_log, readable_time, scored_log, shop_events
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -136,7 +136,7 @@ def cap_rows(spark, sf_dir):
 
 @query
 def rating_events(spark, sf_dir):
-    return ratings.rate_events(shop_events(spark, sf_dir)).select("event_id", "event_type", "rating")
+    return ratings.rate_events(interactions(spark, sf_dir)).select("event_id", "event_type", "rating")
 
 
 # Popular and trending
@@ -145,17 +145,17 @@ def rating_events(spark, sf_dir):
 @query
 def event_pivot(spark, sf_dir):
     types = ["view", "cart", "purchase", "signup", "error"]
-    return popularity.count_by_type(shop_events(spark, sf_dir), types)
+    return popularity.count_by_type(interactions(spark, sf_dir), types)
 
 
 @query
 def popularity_scores(spark, sf_dir):
-    return popularity.popularity_scores(shop_events(spark, sf_dir))
+    return popularity.popularity_scores(interactions(spark, sf_dir))
 
 
 @query
 def trending_scores(spark, sf_dir):
-    return popularity.trending_scores(shop_events(spark, sf_dir))
+    return popularity.trending_scores(interactions(spark, sf_dir))
 
 
 @query
@@ -165,27 +165,27 @@ def popular_purchases(spark, sf_dir):
 
 @query
 def trending_items(spark, sf_dir):
-    return popularity.trending_items(shop_events(spark, sf_dir), as_of=AS_OF)
+    return popularity.trending_items(interactions(spark, sf_dir), as_of=AS_OF)
 
 
 @query
 def trending_items_fortnight(spark, sf_dir):
-    return popularity.trending_items(shop_events(spark, sf_dir), top_k_items=None, days=14, as_of=AS_OF)
+    return popularity.trending_items(interactions(spark, sf_dir), top_k_items=None, days=14, as_of=AS_OF)
 
 
 @query
 def trending_items_untimed(spark, sf_dir):
-    return popularity.trending_items(shop_events(spark, sf_dir), days=None)
+    return popularity.trending_items(interactions(spark, sf_dir), days=None)
 
 
 @query
 def trending_and_popular(spark, sf_dir):
-    return popularity.trending_and_popular(shop_events(spark, sf_dir), as_of=AS_OF)
+    return popularity.trending_and_popular(interactions(spark, sf_dir), as_of=AS_OF)
 
 
 @query
 def union_sources(spark, sf_dir):
-    events = shop_events(spark, sf_dir)
+    events = interactions(spark, sf_dir)
     return popularity.union_lists(
         popularity.trending_items(events, as_of=AS_OF), popularity.popular_items(events)
     )
@@ -193,7 +193,7 @@ def union_sources(spark, sf_dir):
 
 @query
 def dedupe_by_priority(spark, sf_dir):
-    events = shop_events(spark, sf_dir)
+    events = interactions(spark, sf_dir)
     return popularity.first_source_wins(
         popularity.trending_items(events, as_of=AS_OF), popularity.popular_items(events)
     )
@@ -201,12 +201,12 @@ def dedupe_by_priority(spark, sf_dir):
 
 @query
 def seeded_sample(spark, sf_dir):
-    return popularity.seeded_sample(popularity.popular_items(shop_events(spark, sf_dir)), 5, seed=42)
+    return popularity.seeded_sample(popularity.popular_items(interactions(spark, sf_dir)), 5, seed=42)
 
 
 @query
 def diversified_items(spark, sf_dir):
-    return popularity.diversified_items(shop_events(spark, sf_dir), seed=7, as_of=AS_OF)
+    return popularity.diversified_items(interactions(spark, sf_dir), seed=7, as_of=AS_OF)
 
 
 # Ratings
@@ -244,13 +244,13 @@ def ratings_matrix_summed(spark, sf_dir):
 
 @query
 def train_test_split(spark, sf_dir):
-    train, test = ratings.split_rows(shop_events(spark, sf_dir).select("event_id"), ["event_id"])
+    train, test = ratings.split_rows(interactions(spark, sf_dir).select("event_id"), ["event_id"])
     return train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
 
 
 @query
 def rating_rmse(spark, sf_dir):
-    rated = ratings.rate_events(shop_events(spark, sf_dir))
+    rated = ratings.rate_events(interactions(spark, sf_dir))
     train, test = ratings.split_rows(rated, ["event_id"])
     mean = train.select(F.avg("rating")).scalar()
     return _rounded(collaborative.rmse(test.withColumn("prediction", mean)), "rmse")
@@ -425,16 +425,16 @@ def user_history(spark, sf_dir):
 
 @query
 def user_tiers(spark, sf_dir):
-    return history.user_tiers(shop_events(spark, sf_dir), views.users(spark, sf_dir))
+    return history.user_tiers(interactions(spark, sf_dir), views.users(spark, sf_dir))
 
 
 def _early(events: DataFrame) -> DataFrame:
-    return events.where(F.col("event_time") < F.lit(EARLY).cast("timestamp"))
+    return events.where(F.col("event_time") < F.lit(EARLY).cast("timestamp_ntz"))
 
 
 @query
 def user_tiers_early(spark, sf_dir):
-    return history.user_tiers(_early(shop_events(spark, sf_dir)), views.users(spark, sf_dir))
+    return history.user_tiers(_early(interactions(spark, sf_dir)), views.users(spark, sf_dir))
 
 
 @query
@@ -454,15 +454,15 @@ def enrich_metadata(spark, sf_dir):
 
 
 def _all_users(spark, sf_dir, early: bool = False) -> DataFrame:
-    events = shop_events(spark, sf_dir)
+    events, actions = shop_events(spark, sf_dir), interactions(spark, sf_dir)
     documents = tfidf.product_documents(events)
     content = similarity.content_scores(similarity.nest_neighbours(similarity.later_similar_items(documents)))
     return serving.recommend_all_users(
         users=views.users(spark, sf_dir),
-        history=_early(events) if early else events,
-        scored=hybrid.hybrid_scores(views.cf_standin(events), content),
-        trending=popularity.trending_items(events, 10, as_of=AS_OF),
-        popular=popularity.popular_items(events),
+        history=_early(actions) if early else actions,
+        scored=hybrid.hybrid_scores(views.cf_standin(actions), content),
+        trending=popularity.trending_items(actions, 10, as_of=AS_OF),
+        popular=popularity.popular_items(actions),
         metadata=metadata.latest_metadata(events),
     )
 

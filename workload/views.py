@@ -21,27 +21,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Who did what to which product when: the part of ``shop_events`` that needs no product table."""
+    return table(spark, sf_dir, "events").select(
+        "event_id",
+        F.col("ts").alias("event_time"),
+        F.when(F.col("event_type") == "click", "cart").otherwise(F.col("event_type")).alias("event_type"),
+        F.get_json_object("props", "$.k").cast("long").alias("product_id"),
+        F.col("value").alias("price"),
+        "user_id",
+    )
+
+
 def shop_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clickstream events with nulls in category, brand and price."""
-    events = table(spark, sf_dir, "events").withColumn(
-        "product_id", F.get_json_object("props", "$.k").cast("long")
-    )
-    part = table(spark, sf_dir, "part")
+    events, part = interactions(spark, sf_dir), table(spark, sf_dir, "part")
 
     def unless_every(n: int, value):
         return F.when(F.col("event_id") % n != 0, value)
 
     category = F.lower(F.concat("p_type", F.lit("."), F.replace(F.col("p_name"), F.lit(" "), F.lit("."))))
-    day = F.col("ts").cast("date").cast("string")
+    day = F.col("event_time").cast("date").cast("string")
     return events.join(part, events.product_id == part.p_partkey, "left").select(
         "event_id",
-        F.col("ts").cast("timestamp").alias("event_time"),
-        F.when(F.col("event_type") == "click", "cart").otherwise(F.col("event_type")).alias("event_type"),
+        "event_time",
+        "event_type",
         "product_id",
         F.col("p_size").cast("long").alias("category_id"),
         unless_every(13, category).alias("category_code"),
         unless_every(17, F.col("p_brand")).alias("brand"),
-        unless_every(19, F.col("value")).alias("price"),
+        unless_every(19, F.col("price")).alias("price"),
         "user_id",
         F.concat(F.lit("s"), F.col("user_id").cast("string"), F.lit("-"), day).alias("user_session"),
     )
@@ -71,7 +80,7 @@ def purchase_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _order_lines(spark, sf_dir).select(
         F.col("o_custkey").alias("user_id"),
         F.col("l_partkey").alias("product_id"),
-        F.col("o_orderdate").cast("timestamp").alias("event_time"),
+        F.col("o_orderdate").alias("event_time"),
         kind.alias("event_type"),
         F.col("l_extendedprice").alias("price"),
         F.col("l_orderkey").alias("order_id"),
