@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,6 +21,14 @@ def read_table(
     return (reader.schema(schema) if schema is not None else reader).load(path)
 
 
+def read_if_present(spark: SparkSession, path: str, fmt: str = "csv", **options) -> DataFrame | None:
+    """A table that may not have been written yet; ``None`` if it cannot be opened."""
+    try:
+        return read_table(spark, path, fmt, **options)
+    except AnalysisException:
+        return None
+
+
 def read_events(
     spark: SparkSession, path: str, fmt: str = "csv", schema: T.StructType = EVENTS
 ) -> DataFrame:

@@ -45,6 +45,7 @@ def test_recommendations_by_user_bucket(spark, tmp_path):
 def test_missing_path_raises(spark, tmp_path):
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         tables.read_table(spark, str(tmp_path / "nothing"))
+    assert tables.read_if_present(spark, str(tmp_path / "nothing")) is None
 
 
 def test_shared_folder(spark):
