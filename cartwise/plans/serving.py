@@ -11,6 +11,10 @@ from cartwise.operators.metadata import add_metadata
 from cartwise.operators.popularity import diversified_items, first_source_wins, seeded_sample, union_lists
 from cartwise.session import materialise
 
+# Longest list, with metadata, that is still broadcast.
+SHARED_ROWS = 10_000
+
+
 def shared_lists(trending: DataFrame, popular: DataFrame, k: int = 10, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """The part of a list that all users of a tier share, for new and for cold-start users."""
     half = k // 2
@@ -45,8 +49,8 @@ def recommend_all_users(
 
     The shared part of a tier is built once and gets its metadata while it is a few
     rows, so the products all new users share are never a hot join key; only then is
-    it joined to the users of the tier. ``trending`` is the list cut to ``k``;
-    ``popular`` holds all purchased products.
+    it joined to the users. ``trending`` is the list cut to ``k``; ``popular`` holds
+    all purchased products.
     """
     tiers = materialise(user_tiers(history, users, warm_from).select("user_id", "tier"))
     for_new, for_cold = shared_lists(trending, popular, k, seed)
@@ -58,19 +62,25 @@ def recommend_all_users(
     cold_own = seeded_sample(own.where(F.col("tier") == "cold_start"), int(k * 0.4), seed, ["user_id"])
     hybrid = add_metadata(union_lists(warm, cold_own), metadata)
 
-    new_given = _give(tiers, for_new, "new", metadata)
-    cold_given = _give(tiers, for_cold, "cold_start", metadata).join(
-        cold_own.select("user_id", "product_id"), ["user_id", "product_id"], "left_anti"
-    )
-    return union_lists(hybrid, new_given, cold_given).select(
+    shared = union_lists(for_new.withColumn("tier", F.lit("new")), for_cold.withColumn("tier", F.lit("cold_start")))
+    given = _give(tiers, materialise(shared), metadata)
+    repeated = cold_own.select("user_id", "product_id")
+    cold_given = given.where(F.col("tier") == "cold_start").join(repeated, ["user_id", "product_id"], "left_anti")
+    return union_lists(hybrid, given.where(F.col("tier") == "new"), cold_given).select(
         "user_id", "tier", "product_id", "brand", "category_code", "price", "final_score", "score", "source"
     )
 
 
-def _give(tiers: DataFrame, shared: DataFrame, tier: str, metadata: DataFrame) -> DataFrame:
-    """The shared list for each user of a tier; Spark broadcasts it after measuring it."""
-    listed = add_metadata(shared, metadata).withColumn("tier", F.lit(tier))
-    return tiers.where(F.col("tier") == tier).join(listed, "tier")
+def _give(tiers: DataFrame, shared: DataFrame, metadata: DataFrame) -> DataFrame:
+    """The shared list of its tier, with metadata, for each user.
+
+    ``shared`` has at most ``2 * k`` rows. Metadata with many variants per product can
+    make it long; it is broadcast only if it is not, and else joined last.
+    """
+    listed = materialise(add_metadata(shared, metadata))
+    if listed.count() <= SHARED_ROWS:
+        return tiers.join(F.broadcast(listed), "tier")
+    return add_metadata(tiers.join(F.broadcast(shared), "tier"), metadata)
 
 
 def recommend_anonymous(
