@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cartwise.llm import exact_dedup, toxicity
+from cartwise.llm import exact_dedup, token_files, toxicity
 from cartwise.llm.common import table
+from cartwise.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -37,3 +38,10 @@ FROM d WINDOW w AS (PARTITION BY body)"""
 def op10_toxicity(spark, sf_dir):
     documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return toxicity.scored_with_holdout(documents, labels)
+
+
+@query
+def op5_token_files(spark, sf_dir):
+    folder = scratch_path(spark, "token-files")
+    token_files.write_token_files(table(spark, sf_dir, "documents"), folder)
+    return token_files.read_token_files(spark, folder)
