@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cartwise.llm import exact_dedup, token_files, toxicity
+from cartwise.llm import bpe, exact_dedup, packing, token_files, toxicity
 from cartwise.llm.common import table
 from cartwise.session import scratch_path
 
@@ -45,3 +45,13 @@ def op5_token_files(spark, sf_dir):
     folder = scratch_path(spark, "token-files")
     token_files.write_token_files(table(spark, sf_dir, "documents"), folder)
     return token_files.read_token_files(spark, folder)
+
+
+@query
+def op3_bpe(spark, sf_dir):
+    return bpe.digests(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_packing(spark, sf_dir):
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
