@@ -80,7 +80,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
     spark = docs.sparkSession
     ordered = (
         docs.select(F.col("doc_id").cast("long"), text_of().alias("text"))
-        .repartitionByRange(partitions(spark), "doc_id", "text")
+        .repartitionByRange(partitions(spark), "doc_id")
         .sortWithinPartitions("doc_id", "text")
     )
     # one row for each part: at most as many as there are partitions

@@ -14,10 +14,11 @@ from functools import lru_cache
 
 import numpy as np
 
-ROOM = 300_000  # pieces kept
+ROOM = 250_000  # pieces kept, and as many older ones
 LONGEST = 48  # characters of a piece that is kept
 _INNER = re.compile(r" (?:\s|\Z)")
 _CUT = re.compile(r" (?=\S)")
+_LINES = re.compile(r"\S+(?:\n\S+)+")
 
 
 def default_path(name: str) -> str:
@@ -27,17 +28,36 @@ def default_path(name: str) -> str:
 
 
 class _Pieces(dict):
-    """Ids of a piece (little-endian unsigned 32-bit bytes), encoded when it is first seen."""
+    """Ids of a piece (little-endian unsigned 32-bit bytes), encoded when it is first seen.
 
-    def __init__(self, tokenizer, lead: str):
+    A full or comma after a letter and a single line feed between other characters are splits
+    as well, so that words are shared between the pieces that differ in these. The pieces of
+    the last ``ROOM`` misses are kept, and those of them that are used go on being kept.
+    """
+
+    def __init__(self, tokenizer, lead: str, line_feed: bytes):
         super().__init__()
-        self.tokenizer, self.lead = tokenizer, lead
+        self.tokenizer, self.lead, self.line_feed = tokenizer, lead, line_feed
+        self.older: dict[str, bytes] = {}
+        self.after: _Pieces = self  # for what follows a line feed
+        self.marks = {m: self._library(m) for m in ".,"}
+
+    def _library(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __missing__(self, piece: str) -> bytes:
-        ids = self.tokenizer.encode(self.lead + piece, add_special_tokens=False).ids
-        out = np.array(ids, "<u4").tobytes()
+        out = self.older.get(piece)
+        if out is None:
+            if piece[-1:] in self.marks and piece[-2:-1].isalpha():
+                out = self[piece[:-1]] + self.marks[piece[-1]]
+            elif "\n" in piece and _LINES.fullmatch(piece):
+                first, *rest = piece.split("\n")
+                out = self.line_feed.join([self[first], *(self.after[p] for p in rest)])
+            else:
+                out = self._library(self.lead + piece)
         if len(piece) <= LONGEST:
             if len(self) >= ROOM:
+                self.older = dict(self)
                 self.clear()
             self[piece] = out
         return out
@@ -54,7 +74,10 @@ class Encoder:
         self.vocabulary = tokenizer.get_vocab_size()
         #: Byte-level vocabularies without a normalizer keep the blank with what follows it.
         self.keeps_blank = tokenizer.normalizer is None
-        self.first, self.rest = _Pieces(tokenizer, ""), _Pieces(tokenizer, " " if self.keeps_blank else "")
+        line_feed = np.array(tokenizer.encode("\n", add_special_tokens=False).ids, "<u4").tobytes()
+        self.first = _Pieces(tokenizer, "", line_feed)
+        self.rest = _Pieces(tokenizer, " ", line_feed) if self.keeps_blank else self.first
+        self.rest.after = self.first
 
     def encode(self, text: str) -> bytes:
         if not text:
