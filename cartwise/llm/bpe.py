@@ -2,10 +2,10 @@
 
 Tasks cut texts into the matches of the pattern ("words"), gather whole documents into blocks
 of bounded size and keep, for each document, the positions of its words in the word list of
-its block. The (word, block, position) rows, one for each distinct word of a block, are
-shuffled by word and sorted, so that a task encodes each distinct word once; the ids go back
-to the blocks and are put together by position. Word lists make hot words harmless: a word has
-one row for each block at most. Decoding looks ids up in the table of token bytes, whose size
+its block. The distinct words of a block are dealt into buckets by their hash and shuffled by
+bucket, so that one task meets all copies of a word and encodes it once; the ids go back to
+the blocks and are put together by position. Word lists make hot words harmless: a block
+sends a word once. Decoding looks ids up in the table of token bytes, whose size
 is that of the vocabulary.
 
 Blocks are formed twice, for the words and for the documents, so the input must give the same
@@ -17,6 +17,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -30,8 +31,7 @@ from pyspark.sql import functions as F
 from cartwise.llm.common import partitions, text_of
 from cartwise.llm.tokens import default_path
 
-BLOCK_CHARS = 8_000_000
-_PACK = 100_000  # words that go back in one message
+BLOCK_CHARS = 6_000_000
 _INNER = re.compile(r" (?:\s|\Z)")
 _CUT = re.compile(r" (?=\S)")
 
@@ -89,32 +89,66 @@ class _Words(dict):
         return self[pieces[0]] + b"".join([self[" " + p] for p in pieces[1:]])
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], pattern: str, room: int):
-    """Blocks of whole documents: (id, doc ids, positions of their words, word list)."""
+class _Block:
+    """Whole documents: the positions of their words, and the word list, dealt into buckets by hash."""
+
+    def __init__(self, find, part: int):
+        self.digest = hashlib.blake2b(str(part).encode(), digest_size=8)
+        self.ids: list[int | None] = []
+        self.positions: list[bytes] = []
+        self.words = _Words(find)
+        self.size = 0
+
+    def add(self, doc_id: int | None, text: str) -> None:
+        raw = text.encode()
+        self.digest.update(f"{doc_id}:{len(raw)}:".encode())
+        self.digest.update(raw)
+        self.ids.append(doc_id)
+        self.positions.append(self.words.of(text))
+        self.size += len(text) + 1
+
+    @property
+    def name(self) -> int:
+        return int.from_bytes(self.digest.digest(), "little", signed=True)
+
+    def dealt(self, buckets: int) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Words, their buckets and the order by bucket."""
+        words = list(self.words.position)
+        bucket = np.fromiter((zlib.crc32(w.encode()) % buckets for w in words), np.int64, len(words))
+        return words, bucket, np.argsort(bucket, kind="stable")
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], pattern: str, room: int) -> Iterator[_Block]:
     import regex
 
     find = regex.compile(pattern).findall
     part = TaskContext.get().partitionId()
-
-    def start():
-        return hashlib.blake2b(str(part).encode(), digest_size=8), [], [], _Words(find)
-
-    digest, ids, positions, words = start()
-    size = 0
+    block = _Block(find, part)
     for batch in batches:
         for doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if size and size + len(text) > room:
-                yield int.from_bytes(digest.digest(), "little", signed=True), ids, positions, list(words.position)
-                digest, ids, positions, words = start()
-                size = 0
-            raw = text.encode()
-            digest.update(f"{doc_id}:{len(raw)}:".encode())
-            digest.update(raw)
-            ids.append(doc_id)
-            positions.append(words.of(text))
-            size += len(text) + 1
-    if ids:
-        yield int.from_bytes(digest.digest(), "little", signed=True), ids, positions, list(words.position)
+            if block.ids and block.size + len(text) > room:
+                yield block
+                block = _Block(find, part)
+            block.add(doc_id, text)
+    if block.ids:
+        yield block
+
+
+def _shrink(raw: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(raw)
+
+
+def _expand(packed: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(packed)
+
+
+def _pack_numbers(numbers: np.ndarray) -> bytes:
+    """Unsigned 32-bit numbers: the low halves, then the high halves, compressed."""
+    return _shrink(numbers.astype("<u4").view("<u2").reshape(-1, 2).T.tobytes())
+
+
+def _unpack_numbers(packed: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(_expand(packed), "<u2").reshape(2, -1).T).view("<u4").reshape(-1)
 
 
 def encode(docs: DataFrame, ranks: str | None = None, pattern: str | None = None, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -126,81 +160,80 @@ def encode(docs: DataFrame, ranks: str | None = None, pattern: str | None = None
     """
     path, pattern = ranks or default_path("byte_bpe_multi_50k.tiktoken"), pattern or default_pattern()
     n = partitions(docs.sparkSession)
+    buckets = 4 * n
     lean = docs.select(F.col("doc_id").cast("long"), text_of().alias("text"))
 
     def word_rows(batches):
-        for block, _, _, words in _blocks(batches, pattern, block_chars):
-            for at in range(0, len(words), 50_000):
-                own = words[at : at + 50_000]
-                yield pa.record_batch(
-                    [pa.array(own), pa.array(np.full(len(own), block)), pa.array(np.arange(at, at + len(own), dtype=np.int32))],
-                    ["word", "block", "position"],
-                )
+        for block in _blocks(batches, pattern, block_chars):
+            words, bucket, order = block.dealt(buckets)
+            rows = []
+            for own in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
+                if len(own):
+                    raw = [words[i].encode() for i in own]
+                    sizes = np.array([len(r) for r in raw])
+                    rows.append((int(bucket[own[0]]), block.name, _pack_numbers(sizes), _shrink(b"".join(raw))))
+            columns = list(zip(*rows, strict=True)) or [()] * 4
+            yield pa.record_batch(
+                [pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)],
+                ["bucket", "block", "sizes", "words"],
+            )
 
     def document_rows(batches):
-        shrink = zstandard.ZstdCompressor(level=1).compress
-        for block, ids, positions, _ in _blocks(batches, pattern, block_chars):
-            for at in range(0, len(ids), 1000):
-                own = ids[at : at + 1000]
-                packed = [shrink(p) for p in positions[at : at + 1000]]
-                yield pa.record_batch(
-                    [pa.array(np.full(len(own), block)), pa.array(own, pa.int64()), pa.array(packed, pa.binary())],
-                    ["doc_block", "doc_id", "positions"],
-                )
+        for block in _blocks(batches, pattern, block_chars):
+            _, _, order = block.dealt(buckets)
+            counts = np.array([len(p) // 4 for p in block.positions])
+            row = [block.name, block.ids, _pack_numbers(counts), _pack_numbers(np.frombuffer(b"".join(block.positions), "<u4")), _pack_numbers(order)]
+            kinds = (pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary())
+            yield pa.record_batch(
+                [pa.array([v], k) for v, k in zip(row, kinds, strict=True)], ["doc_block", "doc_ids", "counts", "positions", "order"]
+            )
 
     def encode_words(batches):
         encoder = _word_encoder(path)
-        last, last_ids = None, b""
-        held: list[tuple[int, int, bytes]] = []
-
-        def pack():
-            block = np.array([h[0] for h in held])
-            order = np.argsort(block, kind="stable")
-            cuts = np.flatnonzero(np.diff(block[order])) + 1
-            rows = []
-            for own in np.split(order, cuts):
-                ids = [held[i][2] for i in own]
-                rows.append((
-                    int(block[own[0]]), np.array([held[i][1] for i in own], "<u4").tobytes(),
-                    np.array([len(x) // 4 for x in ids], "<u4").tobytes(), b"".join(ids),
-                ))
-            return pa.record_batch(
-                [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), *[pa.binary()] * 3), strict=True)],
-                ["block", "at", "sizes", "ids"],
-            )
-
+        known: dict[bytes, np.ndarray] = {}  # the distinct words of this task's buckets
         for batch in batches:
-            for word, block, position in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if word != last:
-                    last, last_ids = word, np.array(encoder.encode_ordinary(word), "<u4").tobytes()
-                held.append((block, position, last_ids))
-            if len(held) >= _PACK:
-                yield pack()
-                held.clear()
-        if held:
-            yield pack()
+            out = []
+            for sizes, packed in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                raw, at, ids = _expand(packed), 0, []
+                for size in _unpack_numbers(sizes).tolist():
+                    word = raw[at : at + size]
+                    at += size
+                    own = known.get(word)
+                    if own is None:
+                        own = known[word] = np.array(encoder.encode_ordinary(word.decode()), "<u4").tobytes()
+                    ids.append(own)
+                out.append((_pack_numbers(np.array([len(i) // 4 for i in ids])), _pack_numbers(np.frombuffer(b"".join(ids), "<u4"))))
+            columns = list(zip(*out, strict=True)) or [()] * 2
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), *(pa.array(c, pa.binary()) for c in columns)], ["bucket", "block", "sizes", "ids"]
+            )
 
     def join_ids(documents: pa.Table, words: pa.Table) -> pa.Table:
-        expand = zstandard.ZstdDecompressor().decompress
-        at, sizes, ids = (np.frombuffer(b"".join(words[c].to_pylist()), "<u4") for c in ("at", "sizes", "ids"))
-        known = int(at.max()) + 1 if len(at) else 0
-        count, first = np.zeros(known, np.int64), np.zeros(known, np.int64)
-        count[at] = sizes
-        first[at] = np.cumsum(sizes, dtype=np.int64) - sizes
-        out = []
-        for packed in documents["positions"].to_pylist():
-            positions = np.frombuffer(expand(packed), "<u4") if packed else np.zeros(0, "<u4")
-            if len(positions) and (positions.max() >= known or not count[positions].all()):
+        rows = sorted(zip(*(words[c].to_pylist() for c in ("bucket", "sizes", "ids")), strict=True))
+        sizes = np.concatenate([np.zeros(0, np.int64), *(_unpack_numbers(r[1]) for r in rows)]).astype(np.int64)
+        ids = np.concatenate([np.zeros(0, "<u4"), *(_unpack_numbers(r[2]) for r in rows)]).astype("<u4")
+        doc_ids, out = [], []
+        for row in documents.to_pylist():
+            order = _unpack_numbers(row["order"])
+            if len(order) != len(sizes):
                 raise RuntimeError("the words of a block are missing: the input gave other rows when it was read again")
-            n = count[positions]
-            ends = np.cumsum(n)
-            where = np.repeat(first[positions] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)
-            out.append(ids[where].tobytes())
-        return pa.table({"doc_id": documents["doc_id"], "ids": pa.array(out, pa.binary())})
-
-    by_word = lean.mapInArrow(word_rows, "word string, block long, position int").repartition(n, "word").sortWithinPartitions("word")
-    back = by_word.mapInArrow(encode_words, "block long, at binary, sizes binary, ids binary")
-    documents = lean.mapInArrow(document_rows, "doc_block long, doc_id long, positions binary")
+            count, first = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
+            count[order] = sizes
+            first[order] = np.cumsum(sizes) - sizes
+            positions = _unpack_numbers(row["positions"])
+            ends = np.cumsum(_unpack_numbers(row["counts"]), dtype=np.int64)
+            for doc_id, start, end in zip(row["doc_ids"], [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+                own = positions[start:end]
+                n = count[own]
+                stops = np.cumsum(n)
+                where = np.repeat(first[own] - (stops - n), n) + np.arange(stops[-1] if len(stops) else 0)
+                doc_ids.append(doc_id)
+                out.append(ids[where].tobytes())
+        return pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "ids": pa.array(out, pa.binary())})
+
+    by_word = lean.mapInArrow(word_rows, "bucket int, block long, sizes binary, words binary").repartition(n, "bucket")
+    back = by_word.mapInArrow(encode_words, "bucket int, block long, sizes binary, ids binary")
+    documents = lean.mapInArrow(document_rows, "doc_block long, doc_ids array<long>, counts binary, positions binary, order binary")
     return documents.groupBy("doc_block").cogroup(back.groupBy("block")).applyInArrow(join_ids, "doc_id long, ids binary")
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cartwise.llm import bpe, exact_dedup, packing, token_files, toxicity
+from cartwise.llm import bpe, chat, exact_dedup, fingerprints, packing, token_files, toxicity
 from cartwise.llm.common import table
 from cartwise.session import scratch_path
 
@@ -55,3 +55,31 @@ def op3_bpe(spark, sf_dir):
 @query
 def op9_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+@query
+def op1_fingerprints(spark, sf_dir):
+    return fingerprints.fingerprint_pairs(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_chat(spark, sf_dir):
+    return chat.digests(chat.with_probe(table(spark, sf_dir, "conversations")))
+
+
+ORACLE_SQL["op7_chat"] = """
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+m AS (
+  SELECT *, 4 + length(role) + 1 + length(text) + 4
+    + 4 * (length(role || text) - length(replace(role || text, '&', '')))
+    + 3 * (length(role || text) - length(replace(role || text, '<', '')))
+    + 4 * (length(role || text) - length(replace(role || text, '[', '')))
+    + 4 * (length(role || text) - length(replace(role || text, ']', ''))) AS size FROM c)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(size) AS BIGINT) AS formatted_chars
+FROM m GROUP BY conv_id"""
