@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cartwise.llm import bpe, chat, exact_dedup, fingerprints, packing, token_files, toxicity
+from cartwise.llm import bpe, chat, exact_dedup, fingerprints, line_dedup, near_dedup, packing, token_files, toxicity
 from cartwise.llm.common import table
 from cartwise.session import scratch_path
 
@@ -83,3 +83,13 @@ SELECT conv_id, count(*) AS n_turns,
        sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
        CAST(sum(size) AS BIGINT) AS formatted_chars
 FROM m GROUP BY conv_id"""
+
+
+@query
+def op4_near_dedup(spark, sf_dir):
+    return near_dedup.near_groups(table(spark, sf_dir, "documents"), size=4)
+
+
+@query
+def op8_line_dedup(spark, sf_dir):
+    return line_dedup.line_report(table(spark, sf_dir, "documents"))
