@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cartwise.llm import bpe, chat, exact_dedup, fingerprints, line_dedup, near_dedup, packing, token_files, toxicity
+from cartwise.llm import bpe, chat, exact_dedup, fingerprints, line_dedup, near_dedup, packing, pii, token_files, toxicity
 from cartwise.llm.common import table
 from cartwise.session import scratch_path
 
@@ -93,3 +93,8 @@ def op4_near_dedup(spark, sf_dir):
 @query
 def op8_line_dedup(spark, sf_dir):
     return line_dedup.line_report(table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_pii(spark, sf_dir):
+    return pii.span_report(table(spark, sf_dir, "documents"))

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cartwise.llm import toxicity
+from cartwise.llm import line_dedup, near_dedup, packing, pii, toxicity
 from cartwise.llm.common import table
 
 
@@ -14,17 +15,24 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).where("predicted = 0").select(docs.columns)
 
 
-def drop_repeated_lines(spark, docs, sf_dir):
-    raise NotImplementedError
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated lines go but for the earliest; a document left without text goes with them."""
+    return line_dedup.without_repeated_lines(docs)
 
 
-def drop_near_copies(spark, docs, sf_dir):
-    raise NotImplementedError
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies (five words, similarity 0.8) the smallest id stays, and every
+    document that is in no group."""
+    groups = near_dedup.near_groups(docs, size=5, percent=80)
+    gone = groups.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
 
 
-def mask_personal_data(spark, docs, sf_dir):
-    raise NotImplementedError
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data in the texts is replaced by the name of its kind; all documents stay."""
+    return pii.masked(docs, pii.fit(docs))
 
 
-def pack(spark, docs, sf_dir):
-    raise NotImplementedError
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The places of all documents in training sequences of 4096 tokens."""
+    return packing.pack_documents(docs)
