@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartwise.llm.common import partitions, text_of
+from cartwise.llm.common import partitions, slices, text_of
 from cartwise.llm.tokens import default_path
 
 BLOCK_CHARS = 6_000_000
@@ -124,7 +124,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], pattern: str, room: int) -> Itera
     find = regex.compile(pattern).findall
     part = TaskContext.get().partitionId()
     block = _Block(find, part)
-    for batch in batches:
+    for batch in slices(batches):
         for doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if block.ids and block.size + len(text) > room:
                 yield block
@@ -245,7 +245,7 @@ def decode(encoded: DataFrame, ranks: str | None = None) -> DataFrame:
 
     def look_up(batches):
         table = _token_bytes(path)
-        for batch in batches:
+        for batch in slices(batches):
             texts = [b"".join(map(table.__getitem__, np.frombuffer(i, "<u4").tolist())) if i else b"" for i in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], [*batch.schema.names, "decoded"])
 

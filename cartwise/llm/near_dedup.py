@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cartwise.llm.common import UPPER, stored, text_of
+from cartwise.llm.common import UPPER, slices, stored, text_of
 
 CIRCLE = 1 << 20
 BANDS, ROWS = 32, 4  # a pair at 0.8 is missed with probability 5e-8
@@ -98,7 +98,7 @@ def _signed_sets(docs: DataFrame, size: int) -> DataFrame:
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _WordHashes()
-        for batch in batches:
+        for batch in slices(batches):
             n, keys, bands = [], [], []
             for text in batch.column(1).to_pylist():
                 own = shingle_set(text, size, hashes)
@@ -116,7 +116,7 @@ def _full_sets(texts: DataFrame, size: int) -> DataFrame:
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _WordHashes()
-        for batch in batches:
+        for batch in slices(batches):
             sets = [_signed(shingle_set(t, size, hashes)) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cartwise.llm import tokens
-from cartwise.llm.common import partitions, stored, text_of
+from cartwise.llm.common import partitions, slices, stored, text_of
 
 CAPACITY = 4096
 ITEM, GAP = 0, 1
@@ -42,7 +42,7 @@ def token_pieces(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1,
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = tokens.encoder(path)
-        for batch in batches:
+        for batch in slices(batches):
             rows: list[tuple] = []
             for doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 ids = own.encode(text) + end

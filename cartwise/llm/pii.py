@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cartwise.llm import bilstm
-from cartwise.llm.common import text_of
+from cartwise.llm.common import slices, text_of
 
 KINDS = ("email", "ip", "card", "phone")
 WINDOW, STRIDE = 64, 32
@@ -204,7 +204,7 @@ def fit(docs: DataFrame, max_windows: int = MAX_WINDOWS, steps: int = 240) -> di
     plausible form."""
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             made = []
             for text in batch.column(0).to_pylist():
                 if _HINT.search(text):
@@ -229,7 +229,7 @@ def find_spans(docs: DataFrame, model: dict) -> DataFrame:
     at = docs.columns.index("text")
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = [t or "" for t in batch.column(at).to_pylist()]
             out = []
             for text, tagged in zip(texts, tagged_spans(texts, model), strict=True):
@@ -268,7 +268,7 @@ def masked(docs: DataFrame, model: dict) -> DataFrame:
     are replaced together under the kind of the first. Other texts stay as they are."""
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             at, own = batch.schema.names.index("text"), batch.column(batch.schema.names.index("pii")).to_pylist()
             texts = [_masked(t, s) if s else t for t, s in zip(batch.column(at).to_pylist(), own, strict=True)]
             columns = dict(zip(batch.schema.names, batch.columns, strict=True)) | {"text": pa.array(texts, pa.string())}

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartwise.llm import tokens
-from cartwise.llm.common import partitions, text_of
+from cartwise.llm.common import partitions, slices, text_of
 
 NO_ID = np.iinfo(np.int64).min
 _BATCH = 8 << 20  # bytes of ids handed over at once
@@ -58,9 +58,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
         names = [f"{base}/{n}-{part:05d}.bin" for n in ("tokens", "offsets", "ids")]
         count = total = 0
         out = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in slices(batches):
             if out is None:
                 files.create_dir(base, recursive=True)
                 out = [files.open_output_stream(f"{n}.{attempt}") for n in names]

@@ -14,7 +14,7 @@ from functools import lru_cache
 
 import numpy as np
 
-ROOM = 250_000  # pieces kept, and as many older ones
+ROOM = 100_000  # pieces kept, and as many older ones
 LONGEST = 48  # characters of a piece that is kept
 _INNER = re.compile(r" (?:\s|\Z)")
 _CUT = re.compile(r" (?=\S)")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartwise.llm.common import stored, text_of
+from cartwise.llm.common import slices, stored, text_of
 
 MAX_LABELLED = 20_000
 MAX_LEXICON = 4_000
@@ -277,7 +277,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = [_Lexicon(x) for x in lexicons]
-        for batch in batches:
+        for batch in slices(batches):
             ids, texts, toxic, fold = (c.to_pylist() for c in batch.columns)
             x = [features(t, known[k]) for t, k in zip(texts, fold, strict=True)]
             yield pa.record_batch(
@@ -314,9 +314,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Lexicon(model["lexicon"])
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in slices(batches):
             x = np.array([features(t or "", known) for t in batch.column(at).to_pylist()], float)
             value = np.clip(calibrated(margins(x, model["trees"]), model["knots"]), 0.0, 1.0)
             yield pa.RecordBatch.from_arrays(
