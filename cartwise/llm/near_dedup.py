@@ -147,9 +147,10 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
 
     Two documents are linked when 100 * |intersection| >= ``percent`` * |union| of their sets of
     ``size``-word shingles; ``component_id`` is the smallest ``doc_id`` reachable, and that
-    document is kept. A text without words is linked with nothing. Rows that share a ``doc_id``
-    are one document with several texts; rows without id are one document whose id, below all
-    others, is shown as null. An empty table gives no rows.
+    document is kept. A text without words is linked with nothing. Repeated rows are all kept or
+    all not; rows that repeat an id with another text are judged by their own text, and links of
+    either count for both once one of them stands for its copies. The missing id is below all others
+    and shown as null. An empty table gives no rows.
     """
     signed = stored(_signed_sets(docs, size), "signatures")
     classes = signed.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("node"))
@@ -211,7 +212,6 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     named = classes.join(labels.withColumnRenamed("node", "member"), F.col("node") == F.col("member"), "left").select(
         F.col("set_key").alias("key"), F.coalesce("component", "node").alias("component")
     )
-    # rows that share an id are one document: the least component of its texts
     placed = signed.join(named, F.col("set_key") == F.col("key"), "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component")
     )

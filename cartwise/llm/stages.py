@@ -24,7 +24,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Of each group of near copies (five words, similarity 0.8) the smallest id stays, and every
     document that is in no group."""
     groups = near_dedup.near_groups(docs, size=5, percent=80)
-    gone = groups.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
+    gone = groups.groupBy(F.col("doc_id").alias("_gone")).agg(F.max("kept").alias("_kept")).where("not _kept").select("_gone")
     return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
 
 

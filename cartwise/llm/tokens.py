@@ -48,7 +48,8 @@ class _Pieces(dict):
     def __missing__(self, piece: str) -> bytes:
         out = self.older.get(piece)
         if out is None:
-            if piece[-1:] in self.marks and piece[-2:-1].isalpha():
+            # a letter that grows in lower case ends with a mark, which a comma would join
+            if piece[-1:] in self.marks and piece[-2:-1].isalpha() and len(piece[-2].lower()) == 1:
                 out = self[piece[:-1]] + self.marks[piece[-1]]
             elif "\n" in piece and _LINES.fullmatch(piece):
                 first, *rest = piece.split("\n")
