@@ -28,9 +28,13 @@ def number_rows(
     per: Sequence[str] = (),
     name: str = "rank",
     start: int = 1,
+    counted: Column | None = None,
 ) -> DataFrame:
     """Number *all* rows of each group (or of the table) in order, however large the group.
 
+    With ``counted`` only the rows it is true for count; other rows get the number of
+    the last one that counts (``start - 1`` before the first).
+
     Rows are range-partitioned on (group, order), so a large group spans several
     tasks. Each partition numbers its own part; a part that continues a group of
     an earlier partition is shifted by the rows before it. There are at most as
@@ -41,7 +45,8 @@ def number_rows(
     placed = df.repartitionByRange(*[F.col(c).asc() for c in per], *order_by)
     placed = materialise(placed.withColumn("_part", F.spark_partition_id()))
 
-    sizes = placed.groupBy("_part", *per).agg(F.count(F.lit(1)).alias("_size"))
+    one = F.lit(1) if counted is None else F.when(counted, 1).otherwise(0)
+    sizes = placed.groupBy("_part", *per).agg(F.sum(one).alias("_size"))
     earlier = Window.partitionBy(*per).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     shifts = (
         sizes.withColumn("_shift", F.sum("_size").over(earlier))
@@ -49,7 +54,9 @@ def number_rows(
         .select("_part", *[F.col(c).alias(f"_g_{c}") for c in per], "_shift")
     )
     within = Window.partitionBy("_part", *per).orderBy(*order_by)
-    local = placed.withColumn("_row", F.row_number().over(within)).withColumnRenamed("_part", "_own")
+    so_far = within.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    row = F.row_number().over(within) if counted is None else F.sum(one).over(so_far)
+    local = placed.withColumn("_row", row).withColumnRenamed("_part", "_own")
     same = F.col("_own") == F.col("_part")
     for c in per:
         same = same & F.col(c).eqNullSafe(F.col(f"_g_{c}"))
