@@ -16,7 +16,7 @@ import random
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cartwise.llm.common import SPACE, lower_ascii, partitions, stored, text_of
+from cartwise.llm.common import lower_ascii, partitions, stored, text_of
 
 BINS = 256
 BITS = 4  # bits kept of a bin; a fingerprint is BINS * BITS / 64 numbers
@@ -34,7 +34,11 @@ def _let(value: Column, body) -> Column:
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(lower_ascii(text), SPACE, -1), lambda w: w != "")
+    """Lower-cased words; white space becomes blanks first, as a split at one character needs no pattern."""
+    blank = lower_ascii(text)
+    for space in "\t\n\x0b\x0c\r":
+        blank = F.replace(blank, F.lit(space), F.lit(" "))
+    return F.array_remove(F.split(blank, " ", -1), "")
 
 
 def shingle_hashes(word_list: Column, size: int = SHINGLE) -> Column:
@@ -42,14 +46,13 @@ def shingle_hashes(word_list: Column, size: int = SHINGLE) -> Column:
 
     def of(hashes: Column) -> Column:
         n = F.size(hashes)
-        run = [F.get(hashes, F.lit(0))]
 
         def shingle(_, i):
             return F.xxhash64(*[F.get(hashes, i + k) for k in range(size)])
 
         many = F.transform(F.slice(hashes, 1, F.greatest(n - (size - 1), F.lit(0))), shingle)
         few = F.array(F.xxhash64(*[F.get(hashes, F.lit(k)) for k in range(size - 1)], n))
-        return F.when(n >= size, many).when(n > 0, few).otherwise(F.array().cast("array<bigint>")) if run else many
+        return F.when(n >= size, many).when(n > 0, few).otherwise(F.array().cast("array<bigint>"))
 
     return _let(F.transform(word_list, lambda w: F.xxhash64(w)), of)
 
