@@ -14,7 +14,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 import __spark_entry__ as contract  # noqa: E402
 
-TABLES = "region nation customer supplier part orders lineitem events".split()
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings conversations".split()
 
 
 def oracle_connection(sf_dir: str):
@@ -46,7 +46,7 @@ def compare(spark, connection, name: str, sf_dir: str) -> str | None:
     theirs = Counter(tuple(_cell(row[i]) for i in at) for row in result.fetchall())
     if ours == theirs:
         kinds = {c: t for c, t in frame.dtypes}
-        odd = {c: t for c, t in kinds.items() if t not in ("bigint", "double", "string")}
+        odd = {c: t for c, t in kinds.items() if t not in ("bigint", "int", "boolean", "double", "string")}
         return f"types {odd}" if odd else (None if ours else "both empty")
     more, less = ours - theirs, theirs - ours
     return (
