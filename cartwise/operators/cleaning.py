@@ -1,4 +1,4 @@
-"""Null handling, duplicates and row caps."""
+"""Null handling, duplicates and first rows."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cartwise.operators.ranking import number_rows
+
 # Columns filled before training, by kind.
 NUMBER_TYPES = {"product_id": "long", "category_id": "long", "price": "double", "user_id": "long"}
 TEXT_COLUMNS = ("category_code", "brand", "user_session")
@@ -33,13 +35,14 @@ def distinct_rows(df: DataFrame) -> DataFrame:
     return df.dropDuplicates()
 
 
-def cap_rows(df: DataFrame, max_rows: int | None, order_by: Sequence[str] = ("event_id",)) -> DataFrame:
-    """First ``max_rows`` rows in key order; ``None`` keeps all."""
-    return df if max_rows is None else df.orderBy(*order_by).limit(max_rows)
+def first_rows(df: DataFrame, n: int, order_by: Sequence[str]) -> DataFrame:
+    """The first ``n`` rows in key order, of any number: rows are numbered in ranges of the key, so no
+    task gets them all. ``order_by`` must be a total order."""
+    place = "__place"
+    numbered = number_rows(df, [F.col(c).asc() for c in order_by], name=place)
+    return numbered.where(F.col(place) <= n).select(*df.columns)
 
 
-def training_rows(
-    events: DataFrame, max_rows: int | None = None, order_by: Sequence[str] = ("event_id",)
-) -> DataFrame:
-    """Rows a model is trained on: optional cap, complete rows only, no duplicates."""
-    return distinct_rows(drop_incomplete(cap_rows(events, max_rows, order_by)))
+def training_rows(events: DataFrame) -> DataFrame:
+    """Rows a model is trained on: complete rows, no duplicates."""
+    return distinct_rows(drop_incomplete(events))

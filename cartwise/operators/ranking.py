@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from cartwise.session import materialise
+from cartwise.session import written
 
 
 def top_k(df: DataFrame, k: int, order_by: Sequence[Column], per: Sequence[str] = ()) -> DataFrame:
@@ -35,33 +38,101 @@ def number_rows(
     With ``counted`` only the rows it is true for count; other rows get the number of
     the last one that counts (``start - 1`` before the first).
 
-    Rows are range-partitioned on (group, order), so a large group spans several
-    tasks. Each partition numbers its own part; a part that continues a group of
-    an earlier partition is shifted by the rows before it. There are at most as
-    many shifts as partitions, which is what bounds the broadcast. The sorted rows
-    are checkpointed because both passes must see the same partitions, also when
-    an executor is lost in between.
+    The one exchange deals rows into ranges of (group, order), so a large group spans several
+    tasks. A row's place in its sorted range gives its number there; the table is written with
+    these. What a range adds to the ranges after it is known from its first and last row: two
+    rows per range go to the driver, and at most one shift per range comes back as a broadcast.
     """
-    placed = df.repartitionByRange(*[F.col(c).asc() for c in per], *order_by)
-    placed = materialise(placed.withColumn("_part", F.spark_partition_id()))
-
-    one = F.lit(1) if counted is None else F.when(counted, 1).otherwise(0)
-    sizes = placed.groupBy("_part", *per).agg(F.sum(one).alias("_size"))
-    earlier = Window.partitionBy(*per).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = (
-        sizes.withColumn("_shift", F.sum("_size").over(earlier))
-        .where(F.col("_shift") > 0)
-        .select("_part", *[F.col(c).alias(f"_g_{c}") for c in per], "_shift")
-    )
-    within = Window.partitionBy("_part", *per).orderBy(*order_by)
-    so_far = within.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    row = F.row_number().over(within) if counted is None else F.sum(one).over(so_far)
-    local = placed.withColumn("_row", row).withColumnRenamed("_part", "_own")
-    same = F.col("_own") == F.col("_part")
-    for c in per:
-        same = same & F.col(c).eqNullSafe(F.col(f"_g_{c}"))
-    number = (F.col("_row") + F.coalesce("_shift", F.lit(0)) + F.lit(start - 1)).cast("long")
-    return local.join(F.broadcast(shifts), same, "left").select(*df.columns, number.alias(name))
+    in_order = [*[F.col(c).asc() for c in per], *order_by]
+    ranged = df.repartitionByRange(*in_order).sortWithinPartitions(*in_order)
+    # The id counts the rows of a partition from 0, below the partition's number.
+    ranged = ranged.withColumns({_AT: F.monotonically_increasing_id()})
+    own = F.shiftrightunsigned(_AT, 33)
+    if not per and counted is None:
+        numbered = written(ranged, "numbered")
+        rows = numbered.groupBy(own.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()
+        shifts, total = [], 0
+        for part, n in sorted(tuple(r) for r in rows):
+            shifts.append((part, total))
+            total += n
+        local, applies = F.col(_AT).bitwiseAND((1 << 33) - 1) + 1, F.lit(True)
+    else:
+        one = F.lit(True) if counted is None else F.coalesce(counted, F.lit(False))
+        fed = ranged.withColumn(_ONE, one)
+        numbered = written(fed.mapInArrow(_count_in_groups(list(per)), _numbered_schema(fed)), "numbered")
+        shifts = _shifts(numbered.where(_EDGE).select(_AT, _ROW, _HEAD, *per).orderBy(_AT).collect())
+        local, applies = F.col(_ROW), F.col(_HEAD)
+    moved = df.sparkSession.createDataFrame(shifts, f"{_PART} long, {_SHIFT} long")
+    number = (local + F.coalesce(_SHIFT, F.lit(0)) + F.lit(start - 1)).cast("long")
+    joined = numbered.join(F.broadcast(moved), (own == F.col(_PART)) & applies, "left")
+    return joined.select(*[F.col(f"`{c}`") for c in df.columns if c != name], number.alias(name))
+
+
+_AT, _ONE, _ROW, _HEAD, _EDGE, _PART, _SHIFT = (f"__{n}" for n in ("at", "one", "row", "head", "edge", "part", "shift"))
+
+
+def _numbered_schema(fed: DataFrame) -> T.StructType:
+    kept = [field for field in fed.schema if field.name != _ONE]
+    return T.StructType([*kept, T.StructField(_ROW, T.LongType()), T.StructField(_HEAD, T.BooleanType()), T.StructField(_EDGE, T.BooleanType())])
+
+
+def _same(a, b) -> bool:
+    """Equal as group keys: null equals null, NaN equals NaN."""
+    return a == b or (a != a and b != b)
+
+
+def _count_in_groups(per: list[str]):
+    """For sorted rows: the count within the group so far in this partition, whether the group is the
+    partition's first, and whether the row is its first or last."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last, count, head = None, None, 0, True
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            starts = np.zeros(n, bool)
+            for c in per:  # codes are equal for equal values, null and NaN included
+                codes = batch.column(c).dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+                starts[1:] |= codes[1:] != codes[:-1]
+            keys = [[batch.column(c)[at].as_py() for c in per] for at in (0, n - 1)]
+            starts[0] = last is not None and not all(map(_same, keys[0], last))
+            one = batch.column(_ONE).to_numpy(zero_copy_only=False).astype(np.int64)
+            total = np.cumsum(one)
+            opened = np.maximum.accumulate(np.where(starts, np.arange(n), -1))
+            before = np.where(opened >= 0, (total - one)[opened], -count)
+            row = total - before
+            heads = np.full(n, head) & (opened < 0)
+            last, count, head = keys[1], int(row[-1]), bool(heads[-1])
+            edge = np.zeros(n, bool)
+            if held is None:
+                edge[0] = True
+            else:
+                yield _appended(*held)
+            held = (batch, row, heads, edge)
+        if held is not None:
+            held[3][-1] = True
+            yield _appended(*held)
+
+    return run
+
+
+def _appended(batch: pa.RecordBatch, row: np.ndarray, heads: np.ndarray, edge: np.ndarray) -> pa.RecordBatch:
+    kept = [c for c in batch.schema.names if c != _ONE]
+    columns = [*[batch.column(c) for c in kept], pa.array(row), pa.array(heads), pa.array(edge)]
+    return pa.RecordBatch.from_arrays(columns, [*kept, _ROW, _HEAD, _EDGE])
+
+
+def _shifts(edges: list) -> list[tuple[int, int]]:
+    """``(part, rows of its first group in earlier parts)`` from the first and last row of each part, in order."""
+    shifts, before, last = [], 0, None
+    for at, row, head, *key in (tuple(r) for r in edges):
+        part = at >> 33
+        if last is None or part != last[0]:  # the first row of its part
+            shift = before if last is not None and all(map(_same, key, last[1])) else 0
+            shifts.append((part, shift))
+        before, last = row + (shifts[-1][1] if head else 0), (part, key)
+    return [s for s in shifts if s[1]]
 
 
 def best_per_key(df: DataFrame, keys: Sequence[str], score: str) -> DataFrame:

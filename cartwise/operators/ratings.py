@@ -45,14 +45,14 @@ def index_ratings(
 
 
 def rating_matrix(
-    events: DataFrame, max_rows: int | None = None, aggregate: str | None = None
+    events: DataFrame, aggregate: str | None = None
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Ratings plus the user and product index they use.
 
     The cleaned rows feed both indexes and the join, so they are written out once,
     cut to the three columns needed.
     """
-    rated = rate_events(training_rows(events, max_rows)).select("user_id", "product_id", "rating")
+    rated = rate_events(training_rows(events)).select("user_id", "product_id", "rating")
     rated = materialise(rated)
     users = dense_index(rated, "user_id", "user_index")
     products = dense_index(rated, "product_id", "product_index")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 
 from cartwise.operators.cleaning import fill_missing
 from cartwise.operators.collaborative import cross_validate_als, fit_als, recommend_from_model, rmse
-from cartwise.operators.hybrid import hybrid_scores, top_per_user
+from cartwise.operators.hybrid import best_hybrid, hybrid_scores, top_best, top_per_user
 from cartwise.operators.ratings import rating_matrix, split_rows
 from cartwise.operators.similarity import content_scores, later_similar_items, nest_neighbours
 from cartwise.operators.tfidf import product_documents
@@ -32,7 +32,6 @@ def content_table(events: DataFrame) -> DataFrame:
 def train(
     events: DataFrame,
     k: int = 10,
-    max_rows: int | None = None,
     aggregate: str | None = None,
     cross_validate: bool = False,
     across_users: bool = False,
@@ -45,7 +44,7 @@ def train(
     model, so it runs only when asked for.
     """
     filled = fill_missing(events)
-    ratings, users, products = rating_matrix(filled, max_rows, aggregate)
+    ratings, users, products = rating_matrix(filled, aggregate)
     # ALS reads its input many times; the split must be the same each time.
     ratings = materialise(ratings)
     train_rows, test_rows = split_rows(ratings, ["user_index", "product_index", "rating"], seed=seed)
@@ -54,9 +53,13 @@ def train(
     else:
         model = fit_als(train_rows, seed=seed, blocks=blocks)
     cf = recommend_from_model(model, users, products, k)
-    scored = hybrid_scores(cf, content_table(filled))
+    content = content_table(filled)
+    if across_users:  # compares all scores of a product, not only each user's best
+        recommendations = top_per_user(hybrid_scores(cf, content), k, across_users=True)
+    else:
+        recommendations = top_best(best_hybrid(cf, content), k)
     return Training(
-        recommendations=top_per_user(scored, k, across_users),
+        recommendations=recommendations,
         rmse=rmse(model.transform(test_rows)),
         users=users,
         products=products,

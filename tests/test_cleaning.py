@@ -1,6 +1,6 @@
 from datetime import datetime
 
-from cartwise.operators.cleaning import cap_rows, distinct_rows, drop_incomplete, fill_missing, training_rows
+from cartwise.operators.cleaning import distinct_rows, drop_incomplete, fill_missing, first_rows, training_rows
 from cartwise.schema import EVENTS
 
 FULL = (datetime(2024, 1, 1), "view", 7, 3, "a.b", "acme", 2.5, 9, "s")
@@ -33,5 +33,5 @@ def test_duplicates_and_cap(spark):
     assert distinct_rows(df).count() == 2
     assert training_rows(df).count() == 1
     numbered = spark.createDataFrame([(i % 7, i) for i in range(20)], "a int, event_id long")
-    assert sorted(r.event_id for r in cap_rows(numbered, 5).collect()) == [0, 1, 2, 3, 4]
-    assert cap_rows(numbered, None).count() == 20
+    assert sorted(r.event_id for r in first_rows(numbered, 5, ["event_id"]).collect()) == [0, 1, 2, 3, 4]
+    assert first_rows(numbered, 50, ["event_id"]).count() == 20

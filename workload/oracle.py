@@ -334,6 +334,19 @@ def _index(view: str, key: str, name: str) -> str:
     )
 
 
+# Ratings with dense ids as the models see them, each row's part and fold.
+VIEWS["als_rows"] = (
+    ("rated_events",),
+    f"""
+    SELECT *, CAST('0x' || substr(md5('42|' || row_key), 1, 8) AS BIGINT) % 100 < 80 AS in_train,
+           CAST('0x' || substr(md5('42|' || row_key), 1, 8) AS BIGINT) % 3 AS fold
+    FROM (SELECT user_id, product_id, user_index, product_index, rating,
+                 user_index || '|' || product_index || '|' || CAST(CAST(rating AS FLOAT) AS VARCHAR) AS row_key
+          FROM rated_events JOIN ({_index('rated_events', 'user_id', 'user_index')}) USING (user_id)
+          JOIN ({_index('rated_events', 'product_id', 'product_index')}) USING (product_id))""",
+)
+VIEWS["als_train"] = (("als_rows",), "SELECT * FROM als_rows WHERE in_train")
+
 # query -> (views it reads, final SELECT)
 CHECKS: dict[str, tuple[list[str], str]] = {
     "scan_events": (["shop_events"], f"SELECT {ALL_COLUMNS} FROM shop_events"),
@@ -486,6 +499,35 @@ CHECKS: dict[str, tuple[list[str], str]] = {
         ["log_hybrid"],
         "SELECT user_id, product_id, recommended_product, final_score FROM log_hybrid",
     ),
+    "hybrid_best": (
+        ["log_hybrid"],
+        """SELECT user_id, product_id, round(max(final_score), 6) AS final_score
+           FROM log_hybrid GROUP BY user_id, product_id""",
+    ),
+    "als_normal_equations": (
+        ["als_train"],
+        "SELECT user_id, count(*) AS n_ratings, true AS solved FROM als_train GROUP BY user_id",
+    ),
+    "als_scored_rows": (
+        ["als_rows", "als_train"],
+        """SELECT user_index, product_index, round(rating, 6) AS rating, true AS agrees FROM als_rows
+           WHERE NOT in_train AND user_index IN (SELECT user_index FROM als_train)
+             AND product_index IN (SELECT product_index FROM als_train)""",
+    ),
+    "als_fold_facts": (
+        ["als_train"],
+        """SELECT f.fold, count(*) FILTER (t.fold <> f.fold) AS n_train, count(*) FILTER (t.fold = f.fold) AS n_test,
+                  count(*) FILTER (t.fold = f.fold
+                      AND EXISTS (SELECT 1 FROM als_train o WHERE o.fold <> f.fold AND o.user_index = t.user_index)
+                      AND EXISTS (SELECT 1 FROM als_train o WHERE o.fold <> f.fold AND o.product_index = t.product_index)
+                  ) AS n_scored, true AS fits_better_than_mean
+           FROM (SELECT DISTINCT fold FROM als_train) f, als_train t GROUP BY f.fold""",
+    ),
+    "cf_list_facts": (
+        ["als_train"],
+        """SELECT user_id, least(10, (SELECT count(DISTINCT product_id) FROM als_train)) AS n_products, true AS consistent
+           FROM als_train GROUP BY user_id""",
+    ),
     "dedupe_across_users": (
         ["log_standin"],
         """SELECT min(user_id) AS user_id, product_id, predicted_rating AS final_score

@@ -131,7 +131,7 @@ def dedupe_rows(spark, sf_dir):
 def cap_rows(spark, sf_dir):
     log = purchase_log(spark, sf_dir)
     order = ["event_time", "order_id", "line", "user_id", "product_id", "event_type", "price"]
-    return readable_time(cleaning.cap_rows(log, 20000, order))
+    return readable_time(cleaning.first_rows(log, 20000, order))
 
 
 @query
@@ -353,6 +353,13 @@ def hybrid_scores(spark, sf_dir):
     return _hybrid(spark, sf_dir).select("user_id", "product_id", "recommended_product", "final_score")
 
 
+@query
+def hybrid_best(spark, sf_dir):
+    neighbours = similarity.later_similar_items(catalog(spark, sf_dir))
+    content = similarity.content_scores(similarity.nest_neighbours(neighbours))
+    return _rounded(hybrid.best_hybrid(views.cf_standin(purchase_log(spark, sf_dir)), content), "final_score")
+
+
 @query
 def dedupe_across_users(spark, sf_dir):
     return ranking.dedupe_across_users(views.standin_scores(spark, sf_dir))
@@ -381,7 +388,7 @@ def recs_for_user(spark, sf_dir):
     return _rounded(hybrid.recommendations_for(scored_log(spark, sf_dir), wanted), "final_score")
 
 
-# Collaborative filtering (not SQL: rows only)
+# Collaborative filtering: the models' own numbers are not SQL; what must hold of them is
 
 
 def _als_parts(spark, sf_dir):
@@ -408,6 +415,43 @@ def cf_recommendations(spark, sf_dir):
     return collaborative.recommend_from_model(collaborative.fit_als(train, blocks=2), user_ids, product_ids)
 
 
+@query
+def als_normal_equations(spark, sf_dir):
+    train, _, user_ids, _ = _als_parts(spark, sf_dir)
+    solved = collaborative.normal_equations(collaborative.fit_als(train, blocks=2), train)
+    return solved.join(user_ids, "user_index").select("user_id", "n_ratings", (F.col("residual") < 1e-3).alias("solved"))
+
+
+@query
+def als_scored_rows(spark, sf_dir):
+    train, test, _, _ = _als_parts(spark, sf_dir)
+    model = collaborative.fit_als(train, blocks=2)
+    factors = [
+        table.select(F.col("id").alias(key), F.col("features").alias(name))
+        for table, key, name in ((model.userFactors, "user_index", "u"), (model.itemFactors, "product_index", "v"))
+    ]
+    scored = model.transform(test).join(factors[0], "user_index").join(factors[1], "product_index")
+    product = F.aggregate(F.zip_with("u", "v", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda t, x: t + x)
+    agrees = F.abs(F.col("prediction") - product) < 1e-4
+    return _matrix(scored.select("user_index", "product_index", "rating", agrees.alias("agrees")))
+
+
+@query
+def als_fold_facts(spark, sf_dir):
+    train, _, _, _ = _als_parts(spark, sf_dir)
+    metrics = collaborative.fold_metrics(train, blocks=2)
+    fitted = F.col("train_rmse") < F.col("mean_rmse")
+    return metrics.select("fold", "n_train", "n_test", "n_scored", fitted.alias("fits_better_than_mean"))
+
+
+@query
+def cf_list_facts(spark, sf_dir):
+    train, _, user_ids, product_ids = _als_parts(spark, sf_dir)
+    model = collaborative.fit_als(train, blocks=2)
+    lists = materialise(collaborative.recommend_from_model(model, user_ids, product_ids))
+    return collaborative.list_report(model, lists, train, user_ids, product_ids)
+
+
 @query
 def train_recommendations(spark, sf_dir):
     return training.train(shop_events(spark, sf_dir), blocks=2).recommendations
