@@ -34,7 +34,7 @@ HEADLINE = [
     "hybrid_scores",
     "cf_recommendations",
     "train_recommendations",
-    "recommend_all_users_early",
+    "recommend_all_users_orders",
     "stream_ingest",
     "stream_popularity",
 ]

@@ -25,6 +25,12 @@ def fill_missing(events: DataFrame) -> DataFrame:
     return events.withColumns(filled)
 
 
+def identified(events: DataFrame) -> DataFrame:
+    """Events that name their user and their product; after ``fill_missing`` the others would all
+    belong to user 0 and product 0."""
+    return events.where(F.col("user_id").isNotNull() & F.col("product_id").isNotNull())
+
+
 def drop_incomplete(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Drop rows with a null in any column, or in any of ``columns``."""
     return df.dropna(how="any", subset=list(columns) if columns else None)

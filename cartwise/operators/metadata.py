@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cartwise.operators.joins import skew_join
+
 METADATA_COLUMNS = ["category_code", "brand", "price"]
 
 
@@ -19,10 +23,12 @@ def latest_metadata(events: DataFrame, tie_break: str = "event_id") -> DataFrame
     return events.groupBy("product_id").agg(newest).select("product_id", "_m.*")
 
 
-def add_metadata(items: DataFrame, metadata: DataFrame) -> DataFrame:
-    """Left join on product; missing brand and category read ``Unknown``."""
-    return (
-        items.join(metadata, "product_id", "left")
-        .withColumns({c: F.coalesce(F.col(c), F.lit("Unknown")) for c in ("brand", "category_code")})
-        .select(*items.columns, *METADATA_COLUMNS)
+def add_metadata(items: DataFrame, metadata: DataFrame, spread_by: Sequence[str] = ()) -> DataFrame:
+    """Left join on product; missing brand and category read ``Unknown``.
+
+    With ``spread_by`` a product that many items share is split over tasks by these columns.
+    """
+    joined = skew_join(items, metadata, "product_id", spread_by) if spread_by else items.join(metadata, "product_id", "left")
+    return joined.withColumns({c: F.coalesce(F.col(c), F.lit("Unknown")) for c in ("brand", "category_code")}).select(
+        *items.columns, *METADATA_COLUMNS
     )

@@ -64,13 +64,6 @@ def trending_scores(
     return popularity_scores(recent(events, recent_days, as_of), top_n, name="trend_score")
 
 
-def compute_scores(
-    events: DataFrame, recent_days: int = 7, top_n: int = 10
-) -> tuple[DataFrame, DataFrame]:
-    """The popular and the trending list."""
-    return popularity_scores(events, top_n), trending_scores(events, recent_days, top_n)
-
-
 def popular_items(events: DataFrame, top_k_items: int | None = None) -> DataFrame:
     """Purchases per product, tagged ``popular``; all purchased products unless cut."""
     counted = (

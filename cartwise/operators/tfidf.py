@@ -1,9 +1,7 @@
-"""Product documents, exact TF-IDF in long form, and the MLlib variant."""
+"""Product documents and exact TF-IDF in long form."""
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import IDF, HashingTF, Normalizer, StopWordsRemover
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -61,16 +59,3 @@ def l2_normalise(weights: DataFrame, key: str = "product_id") -> DataFrame:
     norms = weights.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     scaled = F.coalesce(F.col("w") / F.nullif(F.col("norm"), F.lit(0.0)), F.lit(0.0))
     return weights.join(norms, key).withColumn("w", scaled).drop("norm")
-
-
-def mllib_tfidf(documents: DataFrame, num_features: int = 1 << 18) -> tuple[PipelineModel, DataFrame]:
-    """Hashed TF-IDF by MLlib; vectors in ``norm``."""
-    rows = documents.withColumn("combined", product_terms(F.col("brand"), F.col("category_code")))
-    stages = [
-        StopWordsRemover(inputCol="combined", outputCol="filtered"),
-        HashingTF(inputCol="filtered", outputCol="tf", numFeatures=num_features),
-        IDF(inputCol="tf", outputCol="tfidf"),
-        Normalizer(inputCol="tfidf", outputCol="norm"),
-    ]
-    model = Pipeline(stages=stages).fit(rows)
-    return model, model.transform(rows)

@@ -11,9 +11,6 @@ from cartwise.operators.metadata import add_metadata
 from cartwise.operators.popularity import diversified_items, first_source_wins, seeded_sample, union_lists
 from cartwise.session import materialise
 
-# Longest list, with metadata, that is still broadcast.
-SHARED_ROWS = 10_000
-
 
 def shared_lists(trending: DataFrame, popular: DataFrame, k: int = 10, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """The part of a list that all users of a tier share, for new and for cold-start users."""
@@ -47,10 +44,11 @@ def recommend_all_users(
     products, 3 trending, 3 popular (for ``k=10``). Warm users: their top ``k``
     hybrid products.
 
-    The shared part of a tier is built once and gets its metadata while it is a few
-    rows, so the products all new users share are never a hot join key; only then is
-    it joined to the users. ``trending`` is the list cut to ``k``; ``popular`` holds
-    all purchased products.
+    The shared part of a tier is a few products, collapsed to one row per tier and sent to the
+    users along with their tier. All lists then meet the metadata in one join, in which the
+    products that all users of a tier share are split over tasks. ``trending`` is the list cut to
+    ``k``; ``popular`` holds all purchased products. ``scored`` may have several rows per user and
+    product; the best usable one counts.
     """
     tiers = materialise(user_tiers(history, users, warm_from).select("user_id", "tier"))
     for_new, for_cold = shared_lists(trending, popular, k, seed)
@@ -60,27 +58,21 @@ def recommend_all_users(
 
     warm = own.where(F.col("tier") == "warm")
     cold_own = seeded_sample(own.where(F.col("tier") == "cold_start"), int(k * 0.4), seed, ["user_id"])
-    hybrid = add_metadata(union_lists(warm, cold_own), metadata)
-
     shared = union_lists(for_new.withColumn("tier", F.lit("new")), for_cold.withColumn("tier", F.lit("cold_start")))
-    given = _give(tiers, materialise(shared), metadata)
+    given = _give(tiers, shared)
     repeated = cold_own.select("user_id", "product_id")
     cold_given = given.where(F.col("tier") == "cold_start").join(repeated, ["user_id", "product_id"], "left_anti")
-    return union_lists(hybrid, given.where(F.col("tier") == "new"), cold_given).select(
+    lists = union_lists(warm, cold_own, given.where(F.col("tier") == "new"), cold_given)
+    return add_metadata(lists, metadata, spread_by=["user_id"]).select(
         "user_id", "tier", "product_id", "brand", "category_code", "price", "final_score", "score", "source"
     )
 
 
-def _give(tiers: DataFrame, shared: DataFrame, metadata: DataFrame) -> DataFrame:
-    """The shared list of its tier, with metadata, for each user.
-
-    ``shared`` has at most ``2 * k`` rows. Metadata with many variants per product can
-    make it long; it is broadcast only if it is not, and else joined last.
-    """
-    listed = materialise(add_metadata(shared, metadata))
-    if listed.count() <= SHARED_ROWS:
-        return tiers.join(F.broadcast(listed), "tier")
-    return add_metadata(tiers.join(F.broadcast(shared), "tier"), metadata)
+def _give(tiers: DataFrame, shared: DataFrame) -> DataFrame:
+    """The shared list of its tier for each user. One row per tier, of at most ``k`` products, is broadcast."""
+    columns = [c for c in shared.columns if c != "tier"]
+    collapsed = materialise(shared.groupBy("tier").agg(F.collect_list(F.struct(*columns)).alias("list")))
+    return tiers.join(F.broadcast(collapsed), "tier").select("user_id", "tier", F.inline("list"))
 
 
 def recommend_anonymous(

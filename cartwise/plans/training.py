@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
-from cartwise.operators.cleaning import fill_missing
+from cartwise.operators.cleaning import fill_missing, identified
 from cartwise.operators.collaborative import cross_validate_als, fit_als, recommend_from_model, rmse
 from cartwise.operators.hybrid import best_hybrid, hybrid_scores, top_best, top_per_user
 from cartwise.operators.ratings import rating_matrix, split_rows
@@ -37,13 +37,15 @@ def train(
     across_users: bool = False,
     seed: int = 42,
     blocks: int | None = None,
+    keep_unidentified: bool = False,
 ) -> Training:
     """Ratings, ALS, content similarity, blend and the top ``k`` per user.
 
     The one-point grid of the original set-up needs no cross-validation to pick a
-    model, so it runs only when asked for.
+    model, so it runs only when asked for. Events without user or product are left out;
+    ``keep_unidentified`` counts them for user 0 and product 0.
     """
-    filled = fill_missing(events)
+    filled = fill_missing(events if keep_unidentified else identified(events))
     ratings, users, products = rating_matrix(filled, aggregate)
     # ALS reads its input many times; the split must be the same each time.
     ratings = materialise(ratings)

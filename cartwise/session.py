@@ -30,8 +30,8 @@ def build_session(app_name: str = "cartwise", master: str | None = None, **setti
 def shared_root(spark: SparkSession) -> str:
     """Folder every executor can reach.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only a local session may go
-    without: there, driver and executors are one process and a temporary folder is
+    The cluster names it in ``spark.checkpoint.dir``. Only a session in one
+    process (``local``, ``local[n]``) may go without: there, driver and executors are one process and a temporary folder is
     shared by definition.
     """
     context = spark.sparkContext
@@ -39,7 +39,7 @@ def shared_root(spark: SparkSession) -> str:
     if root is None:
         root = context.getCheckpointDir()
     if root is None:
-        if not context.master.startswith("local"):
+        if context.master != "local" and not context.master.startswith("local["):
             raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder all executors can reach")
         root = tempfile.mkdtemp(prefix="cartwise-")
         context.setCheckpointDir(root)

@@ -6,9 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-TOPIC = "json-topic"
-
-
 def to_messages(events: DataFrame, keep_nulls: bool = False) -> DataFrame:
     """Each row as one JSON object in ``value``; null fields are left out unless kept."""
     options = {"ignoreNullFields": str(not keep_nulls).lower()}
@@ -18,7 +15,7 @@ def to_messages(events: DataFrame, keep_nulls: bool = False) -> DataFrame:
 def read_kafka(
     spark: SparkSession,
     servers: str,
-    topic: str = TOPIC,
+    topic: str,
     starting: str = "earliest",
     max_offsets_per_trigger: int | None = None,
 ) -> DataFrame:
@@ -34,7 +31,7 @@ def read_kafka(
     return reader.load().select(F.col("value").cast("string").alias("value"))
 
 
-def write_kafka(events: DataFrame, servers: str, topic: str = TOPIC) -> None:
+def write_kafka(events: DataFrame, servers: str, topic: str) -> None:
     """Send each row as a JSON message."""
     to_messages(events).write.format("kafka").option("kafka.bootstrap.servers", servers).option(
         "topic", topic

@@ -3,11 +3,11 @@ from datetime import datetime, timedelta
 import pytest
 
 from cartwise.operators.popularity import (
-    compute_scores,
     count_by_type,
     diversified_items,
     first_source_wins,
     popular_items,
+    popularity_scores,
     recent,
     seeded_sample,
     trending_and_popular,
@@ -28,7 +28,7 @@ def test_counts_skip_null_type_and_product(spark):
 
 def test_scores_and_ties(spark):
     log = events(spark, LOG + [(9, "view", 4), (9, "cart", 4)])
-    popular, trending = compute_scores(log, top_n=3)
+    popular, trending = popularity_scores(log, 3), trending_scores(log, top_n=3)
     assert [tuple(r) for r in popular.collect()] == [(5, 6), (4, 3), (6, 3)]
     assert [tuple(r) for r in trending.collect()] == [(5, 6), (4, 3), (6, 3)]
 

@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 from cartwise.operators.history import user_history, user_tiers
 from cartwise.operators.metadata import add_metadata, latest_metadata, metadata_variants
 from cartwise.operators.popularity import popular_items, trending_items
-from cartwise.plans import serving
 from cartwise.plans.serving import as_json, recommend_all_users, recommend_anonymous
 from tests.helpers import events, rows
 
@@ -62,19 +61,18 @@ def test_each_tier_gets_its_mix(spark):
     assert "final_score" in answers[11][0] and answers[11][4]["source"] == "trending"
 
 
-def test_long_metadata_gives_the_same_lists(spark, monkeypatch):
-    log = _log(spark)
+def test_lists_meet_the_metadata_in_one_join(spark):
+    log = _log(spark).withColumn("price", F.col("event_id") / 4.0)
     scored = spark.createDataFrame([(u, p, p / 100) for u in (11, 15, 16) for p in range(10, 25)], SCORED)
     inputs = (_users(spark), log, scored, trending_items(log, 10, days=None), popular_items(log))
-    short = recommend_all_users(*inputs, latest_metadata(log))
-    plan = short._jdf.queryExecution().executedPlan().toString()
-    assert "NestedLoop" not in plan and "Cartesian" not in plan
-    monkeypatch.setattr(serving, "SHARED_ROWS", 0)
-    long = recommend_all_users(*inputs, latest_metadata(log))
-    plan = long._jdf.queryExecution().executedPlan().toString()
+    lists = recommend_all_users(*inputs, latest_metadata(log))
+    plan = lists._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
-    assert short.exceptAll(long).count() == long.exceptAll(short).count() == 0
-    assert short.count() == long.count() > 0
+    every = recommend_all_users(*inputs, metadata_variants(log))
+    variants = {r.product_id: r.n for r in metadata_variants(log).groupBy("product_id").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counted = {(r.user_id, r.product_id): r.n for r in every.groupBy("user_id", "product_id").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert counted == {(r.user_id, r.product_id): variants.get(r.product_id, 1) for r in lists.collect()}
+    assert max(counted.values()) > 10
 
 
 def test_variants_fan_out_and_latest_does_not(spark):

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from cartwise.functions.text import STOP_WORDS
-from workload.views import AS_OF, EARLY
+from workload.views import AS_OF, HALF, LAST_DAYS
 
 STOP_LIST = ", ".join("'" + word.replace("'", "''") + "'" for word in STOP_WORDS)
 
@@ -240,28 +240,28 @@ VIEWS["row_weighted_unit"] = (
 )
 
 
-def _tiers(name: str, cut: str) -> None:
+def _tiers(name: str, view: tuple[str, ...], events: str) -> None:
     VIEWS[name] = (
-        ("shop_events",),
+        view,
         f"""
         SELECT c_custkey AS user_id, coalesce(n, 0) AS n_events,
                CASE WHEN coalesce(n, 0) = 0 THEN 'new' WHEN n < 6 THEN 'cold_start' ELSE 'warm' END AS tier
-        FROM customer LEFT JOIN (SELECT user_id, count(*) AS n FROM shop_events {cut} GROUP BY user_id)
+        FROM customer LEFT JOIN (SELECT user_id, count(*) AS n FROM {events} GROUP BY user_id)
         ON user_id = c_custkey""",
     )
 
 
-_tiers("tiers", "")
-_tiers("tiers_early", f"WHERE event_time < TIMESTAMP '{EARLY}'")
+_tiers("tiers", ("shop_events",), "shop_events")
+_tiers("tiers_orders", (), "(SELECT o_custkey AS user_id FROM orders WHERE o_orderstatus = 'F')")
 
 
-def _lists(name: str, tiers: str) -> None:
+def _lists(name: str, tiers: str, hybrid: str, products: str) -> None:
     sampled = "SELECT *, row_number() OVER (ORDER BY md5('42|' || product_id), product_id) AS place FROM"
     VIEWS[name] = (
-        (tiers, "trending_ten", "popular", "event_hybrid", "latest"),
+        (tiers, "trending_ten", "popular", hybrid, products),
         f"""
         WITH picks AS (
-            SELECT user_id, product_id, max(final_score) AS final_score FROM event_hybrid GROUP BY user_id, product_id
+            SELECT user_id, product_id, max(final_score) AS final_score FROM {hybrid} GROUP BY user_id, product_id
         ), own AS (
             SELECT * FROM picks JOIN {tiers} USING (user_id) WHERE tier <> 'new'
             QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY final_score DESC, product_id) <= 10
@@ -285,12 +285,13 @@ def _lists(name: str, tiers: str) -> None:
         SELECT user_id, tier, product_id, coalesce(brand, 'Unknown') AS brand,
                coalesce(category_code, 'Unknown') AS category_code, round(price, 6) AS price,
                round(final_score, 6) AS final_score, score, source
-        FROM chosen LEFT JOIN latest USING (product_id)""",
+        FROM chosen LEFT JOIN {products} USING (product_id)""",
     )
 
 
-_lists("lists", "tiers")
-_lists("lists_early", "tiers_early")
+_lists("lists", "tiers", "event_hybrid", "latest")
+_lists("lists_variants", "tiers", "event_hybrid", "variants")
+_lists("lists_orders", "tiers_orders", "log_hybrid", "catalog")
 
 
 def _with(names: list[str]) -> str:
@@ -334,6 +335,22 @@ def _index(view: str, key: str, name: str) -> str:
     )
 
 
+# What each trigger of the de-duplicated stream gets, and what is behind its watermark.
+VIEWS["trigger_one"] = (
+    ("shop_events",),
+    f"SELECT * FROM shop_events WHERE event_time < TIMESTAMP '{HALF}' AND event_id % 97 <> 0",
+)
+for _name, _before, _which in (
+    ("trigger_two", "trigger_one", f"event_time >= TIMESTAMP '{HALF}' OR event_id % 97 = 0 OR event_id % 50 = 0"),
+    ("trigger_three", "trigger_two", f"event_time >= TIMESTAMP '{LAST_DAYS}'"),
+):
+    VIEWS[_name] = (
+        ("shop_events", _before),
+        f"""
+        SELECT *, event_time < (SELECT max(event_time) FROM {_before}) - INTERVAL 1 DAY AS late
+        FROM shop_events WHERE {_which}""",
+    )
+
 # Ratings with dense ids as the models see them, each row's part and fold.
 VIEWS["als_rows"] = (
     ("rated_events",),
@@ -559,7 +576,7 @@ CHECKS: dict[str, tuple[list[str], str]] = {
             WHERE user_id IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')""",
     ),
     "user_tiers": (["tiers"], "SELECT * FROM tiers"),
-    "user_tiers_early": (["tiers_early"], "SELECT * FROM tiers_early"),
+    "user_tiers_orders": (["tiers_orders"], "SELECT * FROM tiers_orders"),
     "product_metadata": (["variants"], "SELECT * FROM variants"),
     "product_metadata_latest": (["latest"], "SELECT * FROM latest"),
     "enrich_metadata": (
@@ -569,15 +586,36 @@ CHECKS: dict[str, tuple[list[str], str]] = {
            FROM popular LEFT JOIN variants USING (product_id)""",
     ),
     "recommend_all_users": (["lists"], "SELECT * FROM lists"),
-    "recommend_all_users_early": (["lists_early"], "SELECT * FROM lists_early"),
+    "recommend_all_users_orders": (["lists_orders"], "SELECT * FROM lists_orders"),
+    "recommend_all_users_variants": (
+        ["lists_variants"],
+        """SELECT user_id, tier, product_id, count(*) AS n_variants, count(DISTINCT brand) AS n_brands,
+                  max(price) AS max_price, max(final_score) AS final_score
+           FROM lists_variants GROUP BY user_id, tier, product_id""",
+    ),
+    "saved_lists_of_users": (
+        ["top_scores"],
+        """SELECT user_id, product_id, round(final_score, 6) AS final_score FROM top_scores
+           WHERE user_id IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')""",
+    ),
+    "trained_lists_of_users": (
+        ["als_train"],
+        """SELECT user_id, least(10, (SELECT count(DISTINCT product_id) FROM als_train)) AS n_products,
+                  least(10, (SELECT count(DISTINCT product_id) FROM als_train)) AS n_distinct
+           FROM als_train WHERE user_id IN (SELECT c_custkey FROM customer) GROUP BY user_id""",
+    ),
+    "optional_table": (
+        ["catalog"],
+        "SELECT product_id, category_code, brand, round(price, 6) AS price FROM catalog",
+    ),
     "recs_as_json": (
-        ["lists_early"],
+        ["lists_orders"],
         """SELECT user_id, '[' || string_agg(
                '{"product_id":' || product_id || ',"brand":"' || brand || '","category_code":"' || category_code
                || '"' || coalesce(',"price":' || price, '') || coalesce(',"final_score":' || final_score, '')
                || coalesce(',"score":' || score || ',"source":"' || source || '"', '') || '}', ','
                ORDER BY final_score DESC NULLS LAST, source DESC, score DESC, product_id) || ']' AS recommendations
-           FROM lists_early GROUP BY user_id""",
+           FROM lists_orders GROUP BY user_id""",
     ),
     "recommend_anonymous": (
         ["diversified", "variants"],
@@ -604,6 +642,15 @@ CHECKS: dict[str, tuple[list[str], str]] = {
            FROM shop_events WHERE event_type = 'signup' AND price IS NULL""",
     ),
     "stream_append": (["shop_events"], f"SELECT {RECEIVED} FROM shop_events"),
+    "stream_late": (
+        ["trigger_one", "trigger_two", "trigger_three"],
+        """SELECT event_id, user_id, 'kept' AS reason FROM (
+               SELECT event_id, user_id FROM trigger_one
+               UNION SELECT event_id, user_id FROM trigger_two WHERE NOT late
+               UNION SELECT event_id, user_id FROM trigger_three WHERE NOT late)
+           UNION ALL SELECT event_id, user_id, 'late' FROM trigger_two WHERE late
+           UNION ALL SELECT event_id, user_id, 'late' FROM trigger_three WHERE late""",
+    ),
     "stream_dedupe": (["shop_events"], f"SELECT {RECEIVED} FROM shop_events"),
     "stream_popularity": (
         ["type_counts"],

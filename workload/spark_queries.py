@@ -23,10 +23,10 @@ from cartwise.plans import serving, training
 from cartwise.schema import EVENT_COLUMNS, KEYED_EVENTS
 from cartwise.session import materialise, scratch_path
 from cartwise.sources import messages, tables
-from cartwise.streaming import ingest
+from cartwise.streaming import dedupe, ingest
 from cartwise.streaming import popularity as streaming_popularity
 from workload import views
-from workload.views import AS_OF, EARLY, catalog, interactions, purchase_log, readable_time, scored_log, shop_events
+from workload.views import AS_OF, catalog, interactions, purchase_log, readable_time, scored_log, shop_events
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -472,13 +472,9 @@ def user_tiers(spark, sf_dir):
     return history.user_tiers(interactions(spark, sf_dir), views.users(spark, sf_dir))
 
 
-def _early(events: DataFrame) -> DataFrame:
-    return events.where(F.col("event_time") < F.lit(EARLY).cast("timestamp_ntz"))
-
-
 @query
-def user_tiers_early(spark, sf_dir):
-    return history.user_tiers(_early(interactions(spark, sf_dir)), views.users(spark, sf_dir))
+def user_tiers_orders(spark, sf_dir):
+    return history.user_tiers(views.fulfilled_orders(spark, sf_dir), views.users(spark, sf_dir))
 
 
 @query
@@ -497,17 +493,17 @@ def enrich_metadata(spark, sf_dir):
     return metadata.add_metadata(popularity.popular_items(events), metadata.metadata_variants(events))
 
 
-def _all_users(spark, sf_dir, early: bool = False) -> DataFrame:
+def _all_users(spark, sf_dir, of_metadata=metadata.latest_metadata) -> DataFrame:
     events, actions = shop_events(spark, sf_dir), interactions(spark, sf_dir)
     documents = tfidf.product_documents(events)
     content = similarity.content_scores(similarity.nest_neighbours(similarity.later_similar_items(documents)))
     return serving.recommend_all_users(
         users=views.users(spark, sf_dir),
-        history=_early(actions) if early else actions,
-        scored=hybrid.hybrid_scores(views.cf_standin(actions), content),
+        history=actions,
+        scored=hybrid.best_hybrid(views.cf_standin(actions), content),
         trending=popularity.trending_items(actions, 10, as_of=AS_OF),
         popular=popularity.popular_items(actions),
-        metadata=metadata.latest_metadata(events),
+        metadata=of_metadata(events),
     )
 
 
@@ -517,13 +513,67 @@ def recommend_all_users(spark, sf_dir):
 
 
 @query
-def recommend_all_users_early(spark, sf_dir):
-    return _rounded(_all_users(spark, sf_dir, early=True), "final_score", "price")
+def recommend_all_users_variants(spark, sf_dir):
+    lists = _all_users(spark, sf_dir, metadata.metadata_variants)
+    return _rounded(
+        lists.groupBy("user_id", "tier", "product_id").agg(
+            F.count(F.lit(1)).alias("n_variants"),
+            F.count_distinct("brand").alias("n_brands"),
+            F.max("price").alias("max_price"),
+            F.max("final_score").alias("final_score"),
+        ),
+        "max_price",
+        "final_score",
+    )
+
+
+def _order_lists(spark, sf_dir) -> DataFrame:
+    """Lists by what customers have ordered: all three tiers have users."""
+    actions, log = interactions(spark, sf_dir), purchase_log(spark, sf_dir)
+    products = catalog(spark, sf_dir)
+    content = similarity.content_scores(similarity.nest_neighbours(similarity.later_similar_items(products)))
+    return serving.recommend_all_users(
+        users=views.users(spark, sf_dir),
+        history=views.fulfilled_orders(spark, sf_dir),
+        scored=hybrid.best_hybrid(views.cf_standin(log), content),
+        trending=popularity.trending_items(actions, 10, as_of=AS_OF),
+        popular=popularity.popular_items(actions),
+        metadata=products,
+    )
+
+
+@query
+def recommend_all_users_orders(spark, sf_dir):
+    return _rounded(_order_lists(spark, sf_dir), "final_score", "price")
 
 
 @query
 def recs_as_json(spark, sf_dir):
-    return serving.as_json(_rounded(_all_users(spark, sf_dir, early=True), "final_score"))
+    return serving.as_json(_rounded(_order_lists(spark, sf_dir), "final_score"))
+
+
+@query
+def saved_lists_of_users(spark, sf_dir):
+    path = scratch_path(spark, "saved")
+    tables.write_recommendations(hybrid.recommendations_for(scored_log(spark, sf_dir)), path, buckets=16, files_per_bucket=2)
+    request = views.table(spark, sf_dir, "customer").where(F.col("c_mktsegment") == "BUILDING")
+    return _rounded(tables.read_recommendations_of(spark, path, request.select(F.col("c_custkey").alias("user_id"))), "final_score")
+
+
+@query
+def trained_lists_of_users(spark, sf_dir):
+    path = scratch_path(spark, "trained")
+    training.run_training_job(shop_events(spark, sf_dir), path, blocks=2)
+    lists = tables.read_recommendations_of(spark, path, views.users(spark, sf_dir))
+    return lists.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_products"), F.count_distinct("product_id").alias("n_distinct"))
+
+
+@query
+def optional_table(spark, sf_dir):
+    path = tables.write_parquet(catalog(spark, sf_dir), scratch_path(spark, "optional"))
+    found = [tables.read_if_present(spark, at, "parquet") for at in (path, scratch_path(spark, "never-written"))]
+    listed = [part.withColumn("present", F.lit(at)) for at, part in enumerate(found) if part is not None]
+    return _rounded(popularity.union_lists(*listed).drop("present"), "price")
 
 
 @query
@@ -596,21 +646,46 @@ def stream_dedupe(spark, sf_dir):
     return readable_time(spark.read.schema(KEYED_EVENTS).parquet(f"{base}/events")).select("event_id", *EVENT_COLUMNS)
 
 
-def _snapshot(spark, sf_dir, label: str, table) -> DataFrame:
+@query
+def stream_late(spark, sf_dir):
+    """Three triggers: the events of the first half without every 97th; the second half, those left
+    out and some of the first half again; the last days again."""
+    base = scratch_path(spark, "late")
+    events = shop_events(spark, sf_dir)
+    early = F.col("event_time") < F.lit(views.HALF).cast("timestamp_ntz")
+    held, again = F.col("event_id") % 97 == 0, F.col("event_id") % 50 == 0
+    for arriving in (early & ~held, ~early | held | again, F.col("event_time") >= F.lit(views.LAST_DAYS).cast("timestamp_ntz")):
+        _send(spark, messages.to_messages(_text_times(events.where(arriving))), f"{base}/in")
+        decoded = ingest.decode(messages.read_message_files(spark, f"{base}/in"), KEYED_EVENTS)
+        good = ingest.good_events(decoded, KEYED_EVENTS)
+        _finish(dedupe.dedupe_stream(good, f"{base}/out", f"{base}/state", "1 day", available_now=True))
+    unique = dedupe.read_deduped(spark, f"{base}/out", KEYED_EVENTS).withColumn("reason", F.lit("kept"))
+    return unique.unionByName(dedupe.read_late(spark, f"{base}/out", KEYED_EVENTS)).select("event_id", "user_id", "reason")
+
+
+def _snapshot(spark, sf_dir, label: str, table, keys: list[str], part) -> DataFrame:
+    """Two triggers, so that the second merges into what the first wrote."""
     base = scratch_path(spark, label)
-    scores = table(_event_stream(spark, sf_dir, base))
-    _finish(
-        streaming_popularity.snapshot_stream(scores, f"{base}/scores", f"{base}/state", available_now=True)
-    )
+    events = _text_times(shop_events(spark, sf_dir))
+    early = F.col("event_time") < F.lit(views.HALF)
+    for arriving in (events.where(early), events.where(~early)):
+        _send(spark, messages.to_messages(arriving), f"{base}/in")
+        decoded = ingest.decode(messages.read_message_files(spark, f"{base}/in"), KEYED_EVENTS)
+        scores = table(ingest.good_events(decoded, KEYED_EVENTS))
+        _finish(streaming_popularity.snapshot_stream(scores, f"{base}/scores", f"{base}/state", keys, part, available_now=True))
     return streaming_popularity.read_snapshot(spark, f"{base}/scores")
 
 
 @query
 def stream_popularity(spark, sf_dir):
-    return _snapshot(spark, sf_dir, "popularity", streaming_popularity.running_scores)
+    return _snapshot(
+        spark, sf_dir, "popularity", streaming_popularity.running_scores, ["product_id"], streaming_popularity.product_bucket()
+    )
 
 
 @query
 def stream_trending(spark, sf_dir):
-    daily = _snapshot(spark, sf_dir, "trending", streaming_popularity.daily_scores)
+    daily = _snapshot(
+        spark, sf_dir, "trending", streaming_popularity.daily_scores, ["day_start", "product_id"], streaming_popularity.day_folder()
+    )
     return readable_time(daily, "day_start")

@@ -12,8 +12,9 @@ TIME_FORMAT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 # As-of time of the queries that would otherwise follow the clock.
 AS_OF = "2024-01-31 00:00:00"
 
-# Day on which the users' history is still short, so that all tiers have users.
-EARLY = "2024-01-03 00:00:00"
+# Times at which the stream queries cut the events into triggers.
+HALF = "2024-01-15 00:00:00"
+LAST_DAYS = "2024-01-29 00:00:00"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -101,6 +102,12 @@ def scored_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def fulfilled_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A customer's history as what was ordered and delivered: some have none, most a few, some many."""
+    orders = table(spark, sf_dir, "orders").where(F.col("o_orderstatus") == "F")
+    return orders.select(F.col("o_custkey").alias("user_id"), F.col("o_orderdate").alias("event_time"))
+
+
 def users(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"))
 
