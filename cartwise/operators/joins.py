@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cartwise.session import written
+
 _SALT, _SALTS, _HOT = "__salt", "__salts", "__hot_key"
 
 
@@ -34,6 +36,7 @@ def skew_join(
     """
     if how not in ("left", "inner"):
         raise ValueError("only inner and left joins keep their rows when the right side is copied")
+    left = written(left, "skew-join")  # counted and then joined, so computed once
     tasks = tasks or int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     hot = F.broadcast(salts_of_hot_keys(left, key, tasks))
     part = F.pmod(F.xxhash64(*spread_by), F.coalesce(F.col(_SALTS), F.lit(1))).cast("int")
