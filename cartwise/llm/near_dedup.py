@@ -9,8 +9,9 @@ a band share a bucket.
 A bucket of many nodes is not expanded into pairs: each node meets the leader of its bucket
 first; verified links join nodes to components; only then do nodes that are still apart from
 the component of their leader meet the nodes of other components in their bucket. Every two
-nodes of a bucket thus end in one component or have been compared on their full sets (or been
-left out because their sizes alone rule a link out).
+nodes of a bucket thus end in one component or have been compared on their full sets, or a link
+is ruled out exactly: by their sizes, or because their distances from the first leader differ by
+more than a link allows (the Jaccard distance keeps the triangle inequality).
 """
 
 from __future__ import annotations
@@ -21,13 +22,13 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartwise.llm.common import UPPER, slices, stored, text_of
 
 CIRCLE = 1 << 20
-BANDS, ROWS = 32, 4  # a pair at 0.8 is missed with probability 5e-8
+BANDS, ROWS = 64, 8  # a pair at 0.8 is missed with probability 8e-6, one at 0.5 met with 0.2
 LEADER_ROUNDS = 2
 NO_ID = -(1 << 63)
 _LOWER = bytes.maketrans(UPPER.encode(), UPPER.lower().encode())
@@ -158,9 +159,8 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     own = signed.select(F.col("set_key").alias("key"), "doc_id", "n_shingles", "bands")
     nodes = classes.join(own, (F.col("set_key") == F.col("key")) & (F.col("doc_id") == F.col("node")))
     banded = nodes.select("node", F.explode("bands").alias("bucket")).distinct()
-    bucket = Window.partitionBy("bucket")
-    shared = banded.withColumn("nodes", F.count("*").over(bucket)).where("nodes > 1").drop("nodes")
-    members = stored(shared, "buckets")
+    shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("nodes")).where("nodes > 1").select("bucket")
+    members = stored(banded.join(shared, "bucket", "left_semi"), "buckets")
 
     candidates = members.select("node").distinct()
     texts = _documents(docs).join(candidates, F.col("doc_id") == F.col("node")).select("doc_id", "text")
@@ -171,41 +171,56 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     members = stored(members.join(sizes, "node"), "buckets")
 
     def verified(pairs: DataFrame) -> DataFrame:
+        """``a, b, linked, distance`` of each pair, on full sets; several sets of one node count together."""
         both = F.size(F.array_intersect("of_a", "of_b"))
         union = F.size("of_a") + F.size("of_b") - both
-        met = pairs.join(left, "a").join(right, "b").where(both * 100 >= union * percent)
-        return met.select("a", "b").distinct()
+        met = pairs.join(left, "a").join(right, "b").select("a", "b", (both * 100 >= union * percent).alias("linked"), (1 - both / union).alias("distance"))
+        return met.groupBy("a", "b").agg(F.max("linked").alias("linked"), F.min("distance").alias("distance"), F.count(F.lit(1)).alias("sets"))
+
+    fits = (F.col("low") * percent <= F.col("other_high") * 100) & (F.col("other_low") * percent <= F.col("high") * 100)
 
     def ordered(pairs: DataFrame) -> DataFrame:
-        fits = (F.col("low") * percent <= F.col("other_high") * 100) & (F.col("other_low") * percent <= F.col("high") * 100)
         return pairs.where(fits).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
     def as_other(df: DataFrame, prefix: str = "") -> list:
         return [F.col(f"{prefix}{c}").alias(f"other{'' if c == 'node' else '_' + c}") for c in ("node", "low", "high")]
 
+    def with_leader(rows: DataFrame, turn: int) -> DataFrame:
+        """The node of each bucket that comes first in the order of the turn, beside every node of it."""
+        rank = F.struct(F.xxhash64("node", F.lit(turn)).alias("rank"), "node", "low", "high", "component")
+        return rows.join(rows.groupBy("bucket").agg(F.min(rank).alias("leader")), "bucket")
+
     labelled = members.withColumn("component", F.col("node"))
     compared = links = None
     for turn in range(LEADER_ROUNDS):
-        rank = F.struct(F.xxhash64("node", F.lit(turn)).alias("rank"), "node", "low", "high", "component")
-        led = labelled.withColumn("leader", F.min(rank).over(bucket)).where("component != leader.component")
+        led = with_leader(labelled, turn).where("component != leader.component")
         pairs = ordered(led.select("node", "low", "high", *as_other(led, "leader.")))
         if compared is not None:
             pairs = pairs.join(compared, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "pairs")
-        compared = pairs if compared is None else compared.unionByName(pairs)
-        found = stored(verified(pairs), "links")
+        found = stored(verified(pairs), "pairs")
+        compared = found.select("a", "b") if compared is None else compared.unionByName(found.select("a", "b"))
+        if turn == 0:
+            # How far each node is from its bucket's first leader, where that is known and the node has one set.
+            first = with_leader(labelled, 0).select(
+                "bucket", "node", F.least("node", "leader.node").alias("a"), F.greatest("node", "leader.node").alias("b")
+            )
+            known = found.where("sets = 1").select("a", "b", "distance")
+            members = stored(members.join(first.join(known, ["a", "b"]).drop("a", "b"), ["bucket", "node"], "left"), "buckets")
+        found = found.where("linked").select("a", "b")
         links = found if links is None else links.unionByName(found)
         labels = components(links)
         labelled = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
         labelled = stored(labelled, "buckets")
-    # nodes apart from the component of their bucket's leader meet the nodes of other components
-    leader = F.min(F.struct(F.xxhash64("node").alias("rank"), "component")).over(bucket)
-    apart = labelled.withColumn("leading", leader["component"]).withColumn("mixed", F.max(F.col("component") != F.col("leading")).over(bucket))
-    apart = stored(apart.where("mixed").drop("mixed"), "apart")
-    others = apart.select("bucket", *as_other(apart), F.col("component").alias("other_component"), F.col("leading").alias("_"))
-    rest = apart.where("component != leading").join(others.drop("_"), "bucket").where("component != other_component")
+    # Nodes apart from the component of their bucket's leader meet the nodes of other components.
+    led = with_leader(labelled, 0).withColumn("leading", F.col("leader.component")).drop("leader")
+    mixed = led.where("component != leading").select("bucket").distinct()
+    apart = stored(led.join(mixed, "bucket", "left_semi"), "apart")
+    others = apart.select("bucket", *as_other(apart), F.col("component").alias("other_component"), F.col("distance").alias("other_distance"))
+    far = F.abs(F.col("distance") - F.col("other_distance")) > 1 - percent / 100 + 1e-9
+    meet = (apart["bucket"] == others["bucket"]) & (F.col("component") != F.col("other_component")) & fits & ~F.coalesce(far, F.lit(False))
+    rest = apart.where("component != leading").join(others, meet)
     rest = ordered(rest).join(compared, ["a", "b"], "left_anti")
-    found = stored(verified(rest), "links")
+    found = stored(verified(rest).where("linked").select("a", "b"), "links")
     if not found.isEmpty():
         labels = components(links.unionByName(found))
 
