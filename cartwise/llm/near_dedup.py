@@ -10,8 +10,9 @@ A bucket of many nodes is not expanded into pairs: each node meets the leader of
 first; verified links join nodes to components; only then do nodes that are still apart from
 the component of their leader meet the nodes of other components in their bucket. Every two
 nodes of a bucket thus end in one component or have been compared on their full sets, or a link
-is ruled out exactly: by their sizes, or because their distances from the first leader differ by
-more than a link allows (the Jaccard distance keeps the triangle inequality).
+is ruled out exactly: by their sizes; because their distances from the first leader differ by
+more than a link allows (the Jaccard distance keeps the triangle inequality); or because counts
+of their shingles by groups show that they share too few.
 """
 
 from __future__ import annotations
@@ -22,14 +23,17 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cartwise.llm.common import UPPER, slices, stored, text_of
 
 CIRCLE = 1 << 20
 BANDS, ROWS = 64, 8  # a pair at 0.8 is missed with probability 8e-6, one at 0.5 met with 0.2
-LEADER_ROUNDS = 2
+#: Leaders are chosen anew until a round finds less than this part of all links so far. What is
+#: left is compared in full, so this decides about work only, not about results.
+FEW = 64
+GROUPS = 64
 NO_ID = -(1 << 63)
 _LOWER = bytes.maketrans(UPPER.encode(), UPPER.lower().encode())
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -142,6 +146,57 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _sizes_fit(percent: int) -> Column:
+    """Whether the numbers of shingles of a row's two nodes let them reach the similarity."""
+    return (F.col("low") * percent <= F.col("other_high") * 100) & (F.col("other_low") * percent <= F.col("high") * 100)
+
+
+def _as_other(prefix: str = "", columns: tuple[str, ...] = ("node", "low", "high")) -> list[Column]:
+    return [F.col(f"{prefix}{c}").alias("other" if c == "node" else f"other_{c}") for c in columns]
+
+
+def _outlines(sets: DataFrame) -> DataFrame:
+    """``node, outline``: how many of a node's shingles fall into each of ``GROUPS`` groups of the hash, those
+    left out that no other node of ``sets`` has. For nodes with one set.
+
+    Two nodes share at most the sum of the lesser counts, group by group.
+    """
+    single = sets.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n = 1").select("node")
+    each = sets.select("node", F.explode("shingles").alias("shingle"))
+    common = each.distinct().groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("shingle")
+    group = F.pmod(F.col("shingle"), F.lit(GROUPS))
+    counted = each.join(common, "shingle", "left_semi").withColumn("group", group).groupBy("node").agg(
+        F.array(*[F.count_if(F.col("group") == g).cast("int") for g in range(GROUPS)]).alias("outline")
+    )
+    none = F.array(*[F.lit(0)] * GROUPS)  # all shingles are the node's own
+    return single.join(counted, "node", "left").select("node", F.coalesce("outline", none).alias("outline"))
+
+
+def _unled_pairs(apart: DataFrame, percent: int) -> DataFrame:
+    """Pairs of nodes of different components that share a bucket, one of them apart from the bucket's
+    leading component: each pair once, in the first bucket that both are in, and none whose sizes,
+    outlines or distances from the first leader rule a link out."""
+    others = apart.select(
+        F.col("bucket").alias("other_bucket"),
+        *_as_other(columns=("node", "low", "high", "component", "distance", "own", "outline")),
+        (F.col("component") != F.col("leading")).alias("other_apart"),
+    )
+    # What both may share, against what a link needs of it: null where a node has several sets.
+    least = F.aggregate(F.zip_with("outline", "other_outline", lambda a, b: F.least(a, b)), F.lit(0), lambda total, x: total + x)
+    little = least * (100 + percent) < (F.col("high") + F.col("other_high")) * percent
+    far = F.abs(F.col("distance") - F.col("other_distance")) > 1 - percent / 100 + 1e-9
+    meet = (
+        (F.col("bucket") == F.col("other_bucket"))
+        & (F.col("component") != F.col("other_component"))
+        & (~F.col("other_apart") | (F.col("node") < F.col("other")))
+        & _sizes_fit(percent)
+        & ~F.coalesce(far, F.lit(False))
+        & ~F.coalesce(little, F.lit(False))
+        & (F.col("bucket") == F.array_min(F.array_intersect("own", "other_own")))
+    )
+    return apart.where("component != leading").join(others, meet)
+
+
 def near_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs`` (``doc_id``, ``text``;
     other columns are ignored).
@@ -177,24 +232,25 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
         met = pairs.join(left, "a").join(right, "b").select("a", "b", (both * 100 >= union * percent).alias("linked"), (1 - both / union).alias("distance"))
         return met.groupBy("a", "b").agg(F.max("linked").alias("linked"), F.min("distance").alias("distance"), F.count(F.lit(1)).alias("sets"))
 
-    fits = (F.col("low") * percent <= F.col("other_high") * 100) & (F.col("other_low") * percent <= F.col("high") * 100)
+    fits = _sizes_fit(percent)
 
     def ordered(pairs: DataFrame) -> DataFrame:
         return pairs.where(fits).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
-    def as_other(df: DataFrame, prefix: str = "") -> list:
-        return [F.col(f"{prefix}{c}").alias(f"other{'' if c == 'node' else '_' + c}") for c in ("node", "low", "high")]
-
     def with_leader(rows: DataFrame, turn: int) -> DataFrame:
-        """The node of each bucket that comes first in the order of the turn, beside every node of it."""
+        """Beside every node of a bucket: the node of the bucket's largest component that comes first in
+        the order of the turn."""
         rank = F.struct(F.xxhash64("node", F.lit(turn)).alias("rank"), "node", "low", "high", "component")
-        return rows.join(rows.groupBy("bucket").agg(F.min(rank).alias("leader")), "bucket")
+        heads = rows.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"), F.min(rank).alias("head"))
+        largest = F.max(F.struct("n", F.col("head.rank").alias("by"), "head"))
+        return rows.join(heads.groupBy("bucket").agg(largest["head"].alias("leader")), "bucket")
 
     labelled = members.withColumn("component", F.col("node"))
     compared = links = None
-    for turn in range(LEADER_ROUNDS):
+    turn = total = 0
+    while True:
         led = with_leader(labelled, turn).where("component != leader.component")
-        pairs = ordered(led.select("node", "low", "high", *as_other(led, "leader.")))
+        pairs = ordered(led.select("node", "low", "high", *_as_other("leader.")))
         if compared is not None:
             pairs = pairs.join(compared, ["a", "b"], "left_anti")
         found = stored(verified(pairs), "pairs")
@@ -207,18 +263,24 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
             known = found.where("sets = 1").select("a", "b", "distance")
             members = stored(members.join(first.join(known, ["a", "b"]).drop("a", "b"), ["bucket", "node"], "left"), "buckets")
         found = found.where("linked").select("a", "b")
+        new = found.count()
+        total += new
         links = found if links is None else links.unionByName(found)
         labels = components(links)
         labelled = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
         labelled = stored(labelled, "buckets")
-    # Nodes apart from the component of their bucket's leader meet the nodes of other components.
+        turn += 1
+        if turn > 1 and new * FEW <= total:
+            break
+    # Nodes apart from the largest component of their bucket meet the nodes of other components, in the
+    # first bucket that both are in.
     led = with_leader(labelled, 0).withColumn("leading", F.col("leader.component")).drop("leader")
     mixed = led.where("component != leading").select("bucket").distinct()
-    apart = stored(led.join(mixed, "bucket", "left_semi"), "apart")
-    others = apart.select("bucket", *as_other(apart), F.col("component").alias("other_component"), F.col("distance").alias("other_distance"))
-    far = F.abs(F.col("distance") - F.col("other_distance")) > 1 - percent / 100 + 1e-9
-    meet = (apart["bucket"] == others["bucket"]) & (F.col("component") != F.col("other_component")) & fits & ~F.coalesce(far, F.lit(False))
-    rest = apart.where("component != leading").join(others, meet)
+    apart = led.join(mixed, "bucket", "left_semi")
+    alone = apart.groupBy("node").agg(F.collect_list("bucket").alias("own"))
+    alone = stored(alone.join(_outlines(sets.join(alone, "node", "left_semi")), "node", "left"), "outlines")
+    apart = stored(apart.join(alone, "node"), "apart")
+    rest = _unled_pairs(apart, percent)
     rest = ordered(rest).join(compared, ["a", "b"], "left_anti")
     found = stored(verified(rest).where("linked").select("a", "b"), "links")
     if not found.isEmpty():
