@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -32,8 +31,7 @@ from cartwise.llm.common import partitions, slices, text_of
 from cartwise.llm.tokens import default_path
 
 BLOCK_CHARS = 6_000_000
-_INNER = re.compile(r" (?:\s|\Z)")
-_CUT = re.compile(r" (?=\S)")
+KNOWN_WORDS = 500_000  # words whose ids a task keeps; others are encoded again
 
 
 def default_pattern() -> str:
@@ -65,38 +63,23 @@ def _token_bytes(path: str) -> list[bytes]:
     return table
 
 
-class _Words(dict):
-    """Positions (unsigned 32-bit bytes) of the words of a piece of text in the block's word list.
+class _Positions(dict):
+    """Position of each word in the word list of a block, in the order of first use."""
 
-    A text may be cut before every blank that no white space follows: no match of the pattern
-    spans such a place. The pattern then runs once for each distinct piece.
-    """
-
-    def __init__(self, find):
-        super().__init__()
-        self.find, self.position = find, {}
-
-    def __missing__(self, piece: str) -> bytes:
-        position = self.position
-        out = np.array([position.setdefault(w, len(position)) for w in self.find(piece)], "<u4").tobytes()
-        self[piece] = out
-        return out
-
-    def of(self, text: str) -> bytes:
-        if not text:
-            return b""
-        pieces = _CUT.split(text) if _INNER.search(text) else text.split(" ")
-        return self[pieces[0]] + b"".join([self[" " + p] for p in pieces[1:]])
+    def __missing__(self, word: str) -> int:
+        position = self[word] = len(self)
+        return position
 
 
 class _Block:
     """Whole documents: the positions of their words, and the word list, dealt into buckets by hash."""
 
-    def __init__(self, find, part: int):
-        self.digest = hashlib.blake2b(str(part).encode(), digest_size=8)
+    def __init__(self, find, part: int, number: int):
+        # Blocks of equal documents are told apart by their place.
+        self.digest = hashlib.blake2b(f"{part}:{number}".encode(), digest_size=8)
         self.ids: list[int | None] = []
         self.positions: list[bytes] = []
-        self.words = _Words(find)
+        self.find, self.words = find, _Positions()
         self.size = 0
 
     def add(self, doc_id: int | None, text: str) -> None:
@@ -104,7 +87,8 @@ class _Block:
         self.digest.update(f"{doc_id}:{len(raw)}:".encode())
         self.digest.update(raw)
         self.ids.append(doc_id)
-        self.positions.append(self.words.of(text))
+        words = self.find(text)
+        self.positions.append(np.fromiter(map(self.words.__getitem__, words), "<u4", len(words)).tobytes())
         self.size += len(text) + 1
 
     @property
@@ -113,7 +97,7 @@ class _Block:
 
     def dealt(self, buckets: int) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Words, their buckets and the order by bucket."""
-        words = list(self.words.position)
+        words = list(self.words)
         bucket = np.fromiter((zlib.crc32(w.encode()) % buckets for w in words), np.int64, len(words))
         return words, bucket, np.argsort(bucket, kind="stable")
 
@@ -123,12 +107,14 @@ def _blocks(batches: Iterator[pa.RecordBatch], pattern: str, room: int) -> Itera
 
     find = regex.compile(pattern).findall
     part = TaskContext.get().partitionId()
-    block = _Block(find, part)
+    number = 0
+    block = _Block(find, part, number)
     for batch in slices(batches):
         for doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if block.ids and block.size + len(text) > room:
                 yield block
-                block = _Block(find, part)
+                number += 1
+                block = _Block(find, part, number)
             block.add(doc_id, text)
     if block.ids:
         yield block
@@ -190,9 +176,11 @@ def encode(docs: DataFrame, ranks: str | None = None, pattern: str | None = None
 
     def encode_words(batches):
         encoder = _word_encoder(path)
-        known: dict[bytes, np.ndarray] = {}  # the distinct words of this task's buckets
+        known: dict[bytes, bytes] = {}
         for batch in batches:
             out = []
+            if len(known) > KNOWN_WORDS:
+                known.clear()
             for sizes, packed in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 raw, at, ids = _expand(packed), 0, []
                 for size in _unpack_numbers(sizes).tolist():

@@ -44,8 +44,8 @@ def token_pieces(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1,
         own = tokens.encoder(path)
         for batch in slices(batches):
             rows: list[tuple] = []
-            for doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                ids = own.encode(text) + end
+            for doc_id, ids in zip(batch.column(0).to_pylist(), own.encode_all(batch.column(1).to_pylist()), strict=True):
+                ids += end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     rows.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part)))

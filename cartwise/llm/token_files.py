@@ -63,7 +63,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
                 files.create_dir(base, recursive=True)
                 out = [files.open_output_stream(f"{n}.{attempt}") for n in names]
                 out[1].write(np.zeros(1, "<i8").tobytes())
-            encoded = [own.encode(t) + end for t in batch.column(1).to_pylist()]
+            encoded = [ids + end for ids in own.encode_all(batch.column(1).to_pylist())]
             out[0].write(np.frombuffer(b"".join(encoded), "<u4").astype(kind).tobytes())
             ends = total + np.cumsum([len(e) // 4 for e in encoded])
             out[1].write(ends.astype("<i8").tobytes())

@@ -2,23 +2,27 @@
 
 Both vocabularies split a text before they merge, and a single blank that is followed by no
 other white space is always such a split: the byte-level pattern attaches it to what follows,
-the word pattern drops it. So a text is cut at these blanks, the library encodes each distinct
-piece, and the ids of a text are the joined ids of its pieces, the same as for the whole text.
-A task keeps the pieces it has seen, a bounded number of them.
+the word pattern drops it. So texts are cut at these blanks, and the ids of a text are the
+joined ids of its pieces. Each piece that a batch of texts has and that is not known yet goes
+to the library once, many in one call as words of a pre-split input, which costs far less than
+a call for each. A task keeps the pieces it has seen, a bounded number of them.
 """
 
 from __future__ import annotations
 
+import os
 import re
+from collections.abc import Sequence
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 
-ROOM = 100_000  # pieces kept, and as many older ones
+ROOM = 300_000  # pieces kept
 LONGEST = 48  # characters of a piece that is kept
+CALL = 20_000  # pieces of one call
 _INNER = re.compile(r" (?:\s|\Z)")
 _CUT = re.compile(r" (?=\S)")
-_LINES = re.compile(r"\S+(?:\n\S+)+")
 
 
 def default_path(name: str) -> str:
@@ -27,66 +31,55 @@ def default_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-class _Pieces(dict):
-    """Ids of a piece (little-endian unsigned 32-bit bytes), encoded when it is first seen.
-
-    A full or comma after a letter and a single line feed between other characters are splits
-    as well, so that words are shared between the pieces that differ in these. The pieces of
-    the last ``ROOM`` misses are kept, and those of them that are used go on being kept.
-    """
-
-    def __init__(self, tokenizer, lead: str, line_feed: bytes):
-        super().__init__()
-        self.tokenizer, self.lead, self.line_feed = tokenizer, lead, line_feed
-        self.older: dict[str, bytes] = {}
-        self.after: _Pieces = self  # for what follows a line feed
-        self.marks = {m: self._library(m) for m in ".,"}
-
-    def _library(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def __missing__(self, piece: str) -> bytes:
-        out = self.older.get(piece)
-        if out is None:
-            # a letter that grows in lower case ends with a mark, which a comma would join
-            if piece[-1:] in self.marks and piece[-2:-1].isalpha() and len(piece[-2].lower()) == 1:
-                out = self[piece[:-1]] + self.marks[piece[-1]]
-            elif "\n" in piece and _LINES.fullmatch(piece):
-                first, *rest = piece.split("\n")
-                out = self.line_feed.join([self[first], *(self.after[p] for p in rest)])
-            else:
-                out = self._library(self.lead + piece)
-        if len(piece) <= LONGEST:
-            if len(self) >= ROOM:
-                self.older = dict(self)
-                self.clear()
-            self[piece] = out
-        return out
-
-
 class Encoder:
     """``encode(text)`` gives the ids the library gives for the whole text, as bytes."""
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the cores are Spark's
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.vocabulary = tokenizer.get_vocab_size()
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.vocabulary = self.tokenizer.get_vocab_size()
         #: Byte-level vocabularies without a normalizer keep the blank with what follows it.
-        self.keeps_blank = tokenizer.normalizer is None
-        line_feed = np.array(tokenizer.encode("\n", add_special_tokens=False).ids, "<u4").tobytes()
-        self.first = _Pieces(tokenizer, "", line_feed)
-        self.rest = _Pieces(tokenizer, " ", line_feed) if self.keeps_blank else self.first
-        self.rest.after = self.first
+        self.keeps_blank = self.tokenizer.normalizer is None
+        self.first: dict[str, bytes] = {}
+        self.rest: dict[str, bytes] = {} if self.keeps_blank else self.first
+
+    def _learn(self, known: dict[str, bytes], pieces: set[str], lead: str) -> None:
+        """Add the ids (little-endian unsigned 32-bit bytes) of the pieces that are not known."""
+        if len(known) > ROOM:
+            known.clear()
+        missing = list(pieces - known.keys())
+        for start in range(0, len(missing), CALL):
+            part = missing[start : start + CALL]
+            whole = self.tokenizer.encode([lead + p for p in part], is_pretokenized=True, add_special_tokens=False)
+            ids = np.array(whole.ids, "<u4").tobytes()
+            ends = (4 * np.searchsorted(np.array(whole.word_ids, np.int64), np.arange(len(part) + 1))).tolist()
+            known.update((p, ids[ends[k] : ends[k + 1]]) for k, p in enumerate(part))
+
+    def _cut(self, text: str) -> list[str]:
+        return _CUT.split(text) if self.keeps_blank and _INNER.search(text) else text.split(" ")
+
+    def encode_all(self, texts: Sequence[str]) -> list[bytes]:
+        cut = [self._cut(t) for t in texts]
+        if self.keeps_blank:
+            firsts, rests = {c[0] for c in cut}, set(chain.from_iterable(c[1:] for c in cut))
+            self._learn(self.first, firsts, "")
+            self._learn(self.rest, rests, " ")
+            out = [self.first[c[0]] + b"".join(map(self.rest.__getitem__, c[1:])) for c in cut]
+        else:
+            firsts, rests = set(), set(chain.from_iterable(cut))
+            self._learn(self.rest, rests, "")
+            out = [b"".join(map(self.rest.__getitem__, c)) for c in cut]
+        for known, pieces in ((self.first, firsts), (self.rest, rests)):
+            for piece in pieces:
+                if len(piece) > LONGEST:
+                    del known[piece]
+        return out
 
     def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if not self.keeps_blank:
-            return b"".join(map(self.rest.__getitem__, text.split(" ")))
-        pieces = _CUT.split(text) if _INNER.search(text) else text.split(" ")
-        return self.first[pieces[0]] + b"".join(map(self.rest.__getitem__, pieces[1:]))
+        return self.encode_all([text])[0]
 
 
 @lru_cache(maxsize=2)

@@ -141,6 +141,28 @@ def test_pieces_give_the_ids_of_whole_texts():
             assert own.encode(text) == u4(whole.ids), repr(text)
 
 
+def test_a_batch_gives_the_ids_of_each_text(monkeypatch):
+    from cartwise.llm import tokens
+
+    dice = random.Random(9)
+    texts = ["", " ", "x" * 200 + " y", *(" ".join(dice.choice(["ab", "", "é", "x" * 60, "a\nb", "c."]) for _ in range(dice.randrange(40))) for _ in range(300))]
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        want = [Encoder(default_path(name)).encode(t) for t in texts]
+        monkeypatch.setattr(tokens, "CALL", 3)
+        monkeypatch.setattr(tokens, "ROOM", 4)  # the pieces are forgotten again and again
+        own = Encoder(default_path(name))
+        for size in (1, 7, len(texts)):
+            assert [e for i in range(0, len(texts), size) for e in own.encode_all(texts[i : i + size])] == want
+        assert all(len(p) <= tokens.LONGEST for p in [*own.first, *own.rest])
+
+
+def test_bpe_of_repeated_rows_longer_than_a_block(spark, documents):
+    text = "one two three one two " * 30
+    docs = documents([(1, text)] * 5 + [(2, text), (None, text), (None, text)]).coalesce(1)
+    got = rows(bpe.decode(bpe.encode(docs, block_chars=100)), "doc_id", "decoded")
+    assert Counter((i, bytes(d)) for i, d in got.elements()) == Counter({(1, text.encode()): 5, (2, text.encode()): 1, (None, text.encode()): 2})
+
+
 def test_bpe_round_trip(documents, odd):
     import public_tokenizers
     import tiktoken
