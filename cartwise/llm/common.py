@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,5 +55,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def aside(docs: DataFrame, names: tuple[str, ...]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``docs`` with columns of these names put aside, so that an operator may use the names for its own,
+    and what gives a table the columns of ``docs`` back under their names and in their order."""
+    own = {c: f"__own_{c}" if c in names else c for c in docs.columns}
+    back = [F.col(f"`{kept}`").alias(c) for c, kept in own.items()]
+    return docs.withColumnsRenamed(own), lambda df: df.select(*back)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cartwise.llm.common import lower_ascii, stored, text_of
+from cartwise.llm.common import aside, lower_ascii, stored, text_of
 from cartwise.llm.near_dedup import components
 
 MIN_CHARS = 30
@@ -139,6 +139,13 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     return spots.join(goes, ["line_id", "check"]).where(place != F.col("keep")).select(*_ROW, "at")
 
 
+def _lines_left(lines: Column, lost: Column) -> Column:
+    """The lines whose number is not in ``lost``, as a text; takes time in proportion to both."""
+    places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), lost)
+    # As the element of an outer array the lines are bound once, not made anew for each place.
+    return F.transform(F.array(lines), lambda own: F.array_join(F.transform(places, lambda i: F.get(own, i)), "\n"))[0]
+
+
 def without_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """``docs`` with the repeated lines taken out of ``text``.
 
@@ -151,13 +158,13 @@ def without_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataF
     lost = repeated_lines(docs, min_chars).groupBy(F.col("doc_id").alias("_id"), F.col("row").alias("_row")).agg(
         F.collect_set("at").alias("_lost")
     )
+    lean, back = aside(docs, ("_id", "_row", "_lost", "_kept"))
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_row"))
-    joined = docs.join(lost, same, "left")
-    lines = F.split("text", "\n", -1)
-    kept = F.array_join(F.filter(lines, lambda line, i: ~F.array_contains(F.col("_lost"), i)), "\n")
+    joined = lean.join(lost, same, "left")
+    kept = _lines_left(F.split("text", "\n", -1), F.col("_lost"))
     joined = joined.withColumn("_kept", F.when(F.col("_lost").isNotNull(), kept))
     emptied = F.col("_lost").isNotNull() & (F.trim(F.regexp_replace("_kept", r"[\x09-\x0D]+", " ")) == "")
-    return joined.where(~emptied).withColumn("text", F.coalesce("_kept", "text")).select(docs.columns)
+    return back(joined.where(~emptied).withColumn("text", F.coalesce("_kept", "text")))
 
 
 def line_report(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -171,7 +178,7 @@ def line_report(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     lines = F.split(text_of(), "\n", -1)
     joined = lean.join(lost, same, "left").select("doc_id", lines.alias("lines"), "_lost")
     left = F.when(F.col("_lost").isNull(), F.array_join("lines", "\n")).otherwise(
-        F.array_join(F.filter("lines", lambda line, i: ~F.array_contains(F.col("_lost"), i)), "\n")
+        _lines_left(F.col("lines"), F.col("_lost"))
     )
     n = F.size("lines").cast("long")
     report = joined.select("doc_id", n.alias("n_lines"), F.when(F.col("_lost").isNull(), 0).otherwise(F.size("_lost")).cast("long").alias("cut"), left.alias("left"))

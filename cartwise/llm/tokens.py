@@ -14,11 +14,10 @@ import os
 import re
 from collections.abc import Sequence
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 
-ROOM = 300_000  # pieces kept
+ROOM = 1_000_000  # pieces kept, about 200 MB
 LONGEST = 48  # characters of a piece that is kept
 CALL = 20_000  # pieces of one call
 _INNER = re.compile(r" (?:\s|\Z)")
@@ -46,37 +45,37 @@ class Encoder:
         self.first: dict[str, bytes] = {}
         self.rest: dict[str, bytes] = {} if self.keeps_blank else self.first
 
-    def _learn(self, known: dict[str, bytes], pieces: set[str], lead: str) -> None:
-        """Add the ids (little-endian unsigned 32-bit bytes) of the pieces that are not known."""
-        if len(known) > ROOM:
-            known.clear()
-        missing = list(pieces - known.keys())
+    def _ids(self, known: dict[str, bytes], texts: list[list[str]], lead: str) -> list[list[bytes]]:
+        """The ids (little-endian unsigned 32-bit bytes) of the pieces of each text; what is not known is learned."""
+        found = [list(map(known.get, pieces)) for pieces in texts]
+        open_ = [k for k, ids in enumerate(found) if None in ids]
+        if not open_:
+            return found
+        missing = list({p for k in open_ for p, ids in zip(texts[k], found[k], strict=True) if ids is None})
+        learned: dict[str, bytes] = {}
         for start in range(0, len(missing), CALL):
             part = missing[start : start + CALL]
             whole = self.tokenizer.encode([lead + p for p in part], is_pretokenized=True, add_special_tokens=False)
             ids = np.array(whole.ids, "<u4").tobytes()
             ends = (4 * np.searchsorted(np.array(whole.word_ids, np.int64), np.arange(len(part) + 1))).tolist()
-            known.update((p, ids[ends[k] : ends[k + 1]]) for k, p in enumerate(part))
+            learned.update((p, ids[ends[k] : ends[k + 1]]) for k, p in enumerate(part))
+        for k in open_:
+            found[k] = [learned[p] if ids is None else ids for p, ids in zip(texts[k], found[k], strict=True)]
+        if len(known) > ROOM:
+            known.clear()
+        known.update((p, ids) for p, ids in learned.items() if len(p) <= LONGEST)
+        return found
 
     def _cut(self, text: str) -> list[str]:
         return _CUT.split(text) if self.keeps_blank and _INNER.search(text) else text.split(" ")
 
     def encode_all(self, texts: Sequence[str]) -> list[bytes]:
         cut = [self._cut(t) for t in texts]
-        if self.keeps_blank:
-            firsts, rests = {c[0] for c in cut}, set(chain.from_iterable(c[1:] for c in cut))
-            self._learn(self.first, firsts, "")
-            self._learn(self.rest, rests, " ")
-            out = [self.first[c[0]] + b"".join(map(self.rest.__getitem__, c[1:])) for c in cut]
-        else:
-            firsts, rests = set(), set(chain.from_iterable(cut))
-            self._learn(self.rest, rests, "")
-            out = [b"".join(map(self.rest.__getitem__, c)) for c in cut]
-        for known, pieces in ((self.first, firsts), (self.rest, rests)):
-            for piece in pieces:
-                if len(piece) > LONGEST:
-                    del known[piece]
-        return out
+        if not self.keeps_blank:
+            return list(map(b"".join, self._ids(self.rest, cut, "")))
+        firsts = self._ids(self.first, [c[:1] for c in cut], "")
+        rests = self._ids(self.rest, [c[1:] for c in cut], " ")
+        return [a[0] + b"".join(b) for a, b in zip(firsts, rests, strict=True)]
 
     def encode(self, text: str) -> bytes:
         return self.encode_all([text])[0]

@@ -422,3 +422,25 @@ def test_isotonic_is_monotone():
     knots = toxicity.fit_isotonic(margin, y)
     score = toxicity.calibrated(np.sort(margin), knots)
     assert (np.diff(score) >= 0).all() and abs(score.mean() - y.mean()) < 0.03
+
+
+def test_stages_keep_columns_whatever_their_names(spark):
+    from cartwise.llm import stages
+
+    names = ["_id", "_row", "_lost", "_kept", "_gone", "score", "predicted", "pii", "kept", "d", "gone"]
+    data = [(1, "a long line that is repeated in two documents\nmail me@example.org"), (2, "a long line that is repeated in two documents\nother"), (3, None), (4, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in data], "doc_id long, text string, lang string, source string, n_chars long")
+    for name in names:
+        docs = docs.withColumn(name, F.concat(F.lit(f"own {name} "), F.col("doc_id").cast("string")))
+    for stage in (stages.drop_toxic, stages.drop_repeated_lines, stages.drop_near_copies, stages.mask_personal_data):
+        out = stage(spark, docs, "/root/testdata/sf0.001")
+        assert out.columns == docs.columns, stage.__name__
+        for r in out.collect():
+            assert all(r[n] == f"own {n} {r.doc_id}" for n in names)
+        assert {3, 4} <= {r.doc_id for r in out.collect()}
+
+
+def test_a_text_of_very_many_equal_lines(spark, documents):
+    text = "\n".join(["the same line again and again and again"] * 100_000)
+    out = line_dedup.without_repeated_lines(documents([(1, text), (2, "another line that nobody else has at all")])).collect()
+    assert sorted((r.doc_id, len(r.text)) for r in out) == [(1, 39), (2, 40)]
