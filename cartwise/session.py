@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,7 +26,25 @@ def build_session(app_name: str = "cartwise", master: str | None = None, **setti
         builder = builder.master(master)
     for key, value in settings.items():
         builder = builder.config(key, str(value))
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send the package to the Python workers, which import it by name wherever they were started."""
+    context, folder = spark.sparkContext, Path(__file__).resolve().parent
+    if getattr(context, _SHIPPED, False) or not folder.is_dir():
+        return
+    archive = Path(tempfile.mkdtemp(prefix="cartwise-code-")) / f"{folder.name}.zip"  # read by the driver alone
+    with zipfile.ZipFile(archive, "w") as out:
+        for path in sorted(folder.rglob("*.py")):
+            out.write(path, path.relative_to(folder.parent))
+    context.addPyFile(str(archive))
+    setattr(context, _SHIPPED, True)
+
+
+_SHIPPED = "_cartwise_shipped"
 
 
 def shared_root(spark: SparkSession) -> str:
