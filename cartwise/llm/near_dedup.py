@@ -83,7 +83,7 @@ def band_keys(shingles: np.ndarray) -> np.ndarray:
     """One 64-bit key for each band of the signature."""
     place = (shingles >> np.uint64(44)).astype(np.int64)
     rows = _circle()
-    least = np.min([rows[place[i : i + 8192]].min(0) for i in range(0, len(place), 8192)], 0).astype(np.uint64)
+    least = np.min([rows[place[i : i + 2048]].min(0) for i in range(0, len(place), 2048)], 0).astype(np.uint64)
     key = np.arange(1, BANDS + 1, dtype=np.uint64)
     for row in least.reshape(ROWS, BANDS):  # a band takes coordinates far from each other
         key = _mixed(key * _MULTIPLIER + row)

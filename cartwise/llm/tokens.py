@@ -17,7 +17,7 @@ from functools import lru_cache
 
 import numpy as np
 
-ROOM = 1_000_000  # pieces kept, about 200 MB
+ROOM = 200_000  # pieces kept, about 40 MB in each worker
 LONGEST = 48  # characters of a piece that is kept
 CALL = 20_000  # pieces of one call
 _INNER = re.compile(r" (?:\s|\Z)")
