@@ -2,10 +2,12 @@
 
 Every text becomes a 64-bit key. A directory of slots (the leading bits of the key)
 points to buckets; while a bucket holds more keys than its capacity the directory
-doubles and the bucket splits by one more bit. The index is written to the shared
-folder, each owner task writing the buckets of one range. Rows whose key occurs once
-are done. The rest are compared byte by byte with the head of their chain; a row that
-differs (a collision) moves on to the next head of the chain, until no row is left.
+doubles and the bucket splits by one more bit. Every row finds its bucket through the
+directory and is written to the shared folder, each owner task writing one range of
+buckets and keys. The rows of a bucket with equal keys are a chain; a chain of one row
+is done. Longer ones are cut into pages of about the capacity, one owner each, where
+the rows are compared byte by byte with the head of their chain; a row that differs (a
+collision) moves on to the next head of the chain, until no row is left.
 """
 
 from __future__ import annotations
@@ -51,17 +53,29 @@ def _slot(depth: int):
     return F.shiftrightunsigned("key", 64 - depth) if depth else F.lit(0).cast("long")
 
 
-def build_index(entries: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """The index over the distinct keys of ``entries`` (``key``, ``doc_id``): ``bucket``,
-    ``key``, ``rows`` and ``head`` (the largest doc_id), stored by ranges of buckets."""
-    keys = stored(
-        entries.groupBy("key").agg(F.count("*").alias("rows"), F.max("doc_id").alias("head")), "hash-keys"
-    )
-    directory = _directory(keys, capacity)
+def through_directory(keyed: DataFrame, directory: DataFrame) -> DataFrame:
+    """``keyed`` with the ``bucket`` of each ``key``, looked up by the key's slot."""
     depth = directory.agg(F.max("depth")).first()[0] or 0
-    placed = keys.withColumn("slot", _slot(depth)).join(directory.select("slot", "bucket"), "slot").drop("slot")
+    slots = directory.select("slot", "bucket")
+    return keyed.withColumn("slot", _slot(depth)).join(slots, "slot").drop("slot")
+
+
+def build_index(entries: DataFrame, capacity: int = CAPACITY) -> tuple[DataFrame, DataFrame]:
+    """The stored directory and bucket files for ``entries`` (``key`` and any other columns).
+
+    An entry finds its bucket through the directory. The files hold the entries in ranges of
+    (bucket, key, all other columns), so a chain that is longer than a file goes on in the next.
+    """
+    directory = _directory(stored(entries.select("key").distinct(), "hash-keys"), capacity)
+    placed = through_directory(entries, directory)
+    order = ["bucket", "key", *[c for c in entries.columns if c != "key"]]
     owners = partitions(entries.sparkSession)
-    return stored(placed.repartitionByRange(owners, "bucket").sortWithinPartitions("bucket", "key"), "hash-index")
+    return directory, stored(placed.repartitionByRange(owners, *order).sortWithinPartitions(*order), "hash-index")
+
+
+def _on_pages(table: DataFrame) -> DataFrame:
+    """``table`` (one row a chain) once for every ``page`` of its chain."""
+    return table.withColumn("page", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pages") - 1))).drop("pages")
 
 
 def exact_groups(docs: DataFrame, capacity: int = CAPACITY, key=F.xxhash64) -> DataFrame:
@@ -80,45 +94,56 @@ def exact_groups(docs: DataFrame, capacity: int = CAPACITY, key=F.xxhash64) -> D
     entries = stored(
         hashed.groupBy("doc_id", "key", "text_sha256").agg(F.count("*").alias("copies")), "hash-entries"
     )
-    index = build_index(entries, capacity)
-    shared = index.where("rows > 1").select("key", F.col("head").alias("first_head"))
-    alone = entries.join(shared.select("key"), "key", "left_anti").select(
+    _, index = build_index(entries, capacity)
+
+    chain = ["bucket", "key"]
+    lengths = index.groupBy(*chain).agg(F.count("*").alias("length")).where("length > 1")
+    lengths = stored(lengths.withColumn("pages", F.ceil(F.col("length") / capacity).cast("long")).drop("length"), "chains")
+    alone = index.join(lengths, chain, "left_anti").select(
         "doc_id", F.col("doc_id").alias("keep_id"), F.col("copies").alias("group_size"), "text_sha256", "copies"
     )
 
-    members = entries.join(shared.select("key"), "key").withColumnRenamed("doc_id", _ID)
+    # The owner of a page of a chain gets the texts of its entries; no page has many more than ``capacity``.
+    page = F.pmod(F.xxhash64("doc_id", "text_sha256"), "pages").alias("page")
+    members = index.join(lengths, chain).select(
+        *chain, page, "pages", F.col("doc_id").alias(_ID), "text_sha256", "copies"
+    )
     texts = docs.select(F.col("doc_id").cast("long"), text_of().alias("text"))
     same_row = F.col("doc_id").eqNullSafe(F.col(_ID))
     open_rows = (
         members.join(texts, same_row)
-        .select(_ID, "key", "text_sha256", "copies", lower_ascii(F.col("text")).alias("body"))
+        .select(*members.columns, lower_ascii(F.col("text")).alias("body"))
         .where(F.sha2("body", 256) == F.col("text_sha256"))  # ids may repeat with other texts
     )
     open_rows = stored(open_rows.dropDuplicates([_ID, "key", "text_sha256"]), "hash-chain")
     groups = None
     while True:
-        heads = open_rows.groupBy(F.col("key").alias("head_key")).agg(F.max(F.struct(_ID, "text_sha256")).alias("head"))
+        heads = open_rows.groupBy(*[F.col(c).alias(f"head_{c}") for c in chain]).agg(
+            F.max(F.struct(_ID, "text_sha256")).alias("head")
+        )
         is_head = (
-            (F.col("key") == F.col("head_key"))
+            (F.col("bucket") == F.col("head_bucket"))
+            & (F.col("key") == F.col("head_key"))
             & F.col(_ID).eqNullSafe(F.col(f"head.{_ID}"))
             & (F.col("text_sha256") == F.col("head.text_sha256"))
         )
-        head_text = open_rows.join(heads, is_head).select(
-            "head_key", F.col(_ID).alias("keep_id"), F.col("body").alias("head_body")
+        first = open_rows.join(heads, is_head).select(
+            *chain, "pages", F.col(_ID).alias("keep_id"), F.col("body").alias("head_body")
         )
-        compared = open_rows.join(head_text, F.col("key") == F.col("head_key")).select(
-            _ID, "key", "text_sha256", "copies", "keep_id", (F.col("body") == F.col("head_body")).alias("equal"),
+        compared = open_rows.join(_on_pages(first), [*chain, "page"]).select(
+            *members.columns, "keep_id", (F.col("body") == F.col("head_body")).alias("equal"),
             F.when(F.col("body") != F.col("head_body"), F.col("body")).alias("body"),
         )
         compared = stored(compared, "hash-compared")
-        done = compared.where("equal").select(F.col(_ID).alias("doc_id"), "key", "keep_id", "text_sha256", "copies")
+        done = compared.where("equal").drop("equal", "body")
         groups = done if groups is None else groups.unionByName(done)
-        open_rows = compared.where("not equal").select(_ID, "key", "text_sha256", "copies", "body")
+        open_rows = compared.where("not equal").drop("equal", "keep_id")
         if open_rows.isEmpty():
             break
-    sizes = groups.groupBy("key", "text_sha256").agg(F.sum("copies").alias("group_size"))
-    grouped = groups.join(sizes, ["key", "text_sha256"]).select(
-        "doc_id", "keep_id", "group_size", "text_sha256", "copies"
+    group = [*chain, "text_sha256"]
+    sizes = groups.groupBy(*group).agg(F.sum("copies").alias("group_size"), F.max("pages").alias("pages"))
+    grouped = groups.join(_on_pages(sizes), [*group, "page"]).select(
+        F.col(_ID).alias("doc_id"), "keep_id", "group_size", "text_sha256", "copies"
     )
     every = alone.unionByName(grouped)
     copy = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))

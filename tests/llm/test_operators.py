@@ -220,11 +220,30 @@ def test_colliding_keys_are_chained_by_their_bytes(documents):
     assert rows(out, "doc_id", "keep_id", "group_size") == Counter((i, 6 + i % 3, 3) for i in range(9))
 
 
+def test_long_chains_are_cut_into_pages(documents):
+    data = [(i, f"Text {i % 2}") for i in range(200)]
+    for key in (F.xxhash64, lambda c: F.lit(-5).cast("long")):
+        out = exact_dedup.exact_groups(documents(data), capacity=8, key=key)
+        assert rows(out, "doc_id", "keep_id", "group_size") == Counter((i, 198 + i % 2, 100) for i in range(200))
+
+
 def test_overfull_buckets_split(spark):
     entries = spark.range(3000).select(F.xxhash64("id").alias("key"), F.col("id").alias("doc_id"))
-    index = exact_dedup.build_index(entries, capacity=64)
+    directory, index = exact_dedup.build_index(entries, capacity=64)
     sizes = [r["count"] for r in index.groupBy("bucket").count().collect()]
     assert sum(sizes) == 3000 and max(sizes) <= 64 and len(sizes) > 47
+    depths = {r.bucket: (r.depth, r.bucket_depth) for r in directory.collect()}
+    for r in index.collect():
+        depth, own = depths[r.bucket]
+        top = (r.key & (2**64 - 1)) >> (64 - own) if own else 0
+        assert r.bucket == top << (depth - own)
+
+
+def test_rows_reach_their_chains_through_the_directory(documents, monkeypatch):
+    whole = exact_dedup._directory
+    monkeypatch.setattr(exact_dedup, "_directory", lambda *a: whole(*a).where("bucket > 0"))
+    data = [(i, f"text {i}") for i in range(64)]
+    assert 0 < exact_dedup.exact_groups(documents(data), capacity=4).count() < 64
 
 
 def brute_near(data, size):
