@@ -1,19 +1,23 @@
 """Personal data: fixed patterns, and a character-level tagger for what they miss.
 
 The tagger is a bidirectional LSTM with CRF transitions, trained on the driver from a bounded
-sample of labelled windows (the spans of the patterns; in a part of the phone numbers the
-leading ``+`` and country code are cut, so that the form without them is learned). A text is
-covered by overlapping windows; their scores are added up, weighted towards the middle of each
-window, and each stretch of windows is decoded as one sequence, so no span is cut at a window's
-edge. All kinds need a digit or an ``@``, so windows without either need no scores: they
-cannot hold a span. A tagged span is added if it has the outward form of its kind (number of
-digits, dots, ``@``) and meets no span of the patterns.
+sample of labelled windows. Its spans are those of the patterns, as they stand and written in
+other ways, which the patterns miss (``altered``: without ``+``, dotted or spaced groups,
+bracketed dots, ``[at]``), among decoys of digits that are no personal data. A text is covered
+by overlapping windows; their scores are added up, weighted towards the middle of each window,
+and each stretch of windows is decoded as one sequence, so no span is cut at a window's edge.
+Every form has a digit, an ``@`` or a bracketed ``at`` or dot, so windows without any need no
+scores: they cannot hold a span. A tagged span is added if it has the outward form of its kind
+(number of digits, check digit, parts) and meets no span of the patterns.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +29,9 @@ from cartwise.llm.common import slices, text_of
 
 KINDS = ("email", "ip", "card", "phone")
 WINDOW, STRIDE = 64, 32
-MAX_WINDOWS = 3000  # training windows
+MAX_WINDOWS = 6000  # training windows
+VARIANTS = 3  # altered copies of a text with spans
+LONG, SHARED, GROUP = 512, 16, 4096  # windows: of a stretch, of two that meet, scored at once
 TAGS = 1 + 2 * len(KINDS)  # outside; begin and inside of each kind
 SPANS = "array<struct<kind:int,start:int,end:int,base:boolean>>"
 
@@ -35,10 +41,22 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_HINT = re.compile(r"[0-9@]")
+#: A bracketed ``at`` or dot.
+_AT, _DOT = r"[\[(]\x20?at\x20?[\])]", r"[\[(]\x20?(?:dot|\.)\x20?[\])]"
+_MARK = re.compile(f"{_AT}|{_DOT}", re.IGNORECASE)
+_HINT = re.compile(f"[0-9@]|{_AT}|{_DOT}", re.IGNORECASE)
+#: The outward forms of tagged spans.
+_FORMS = [
+    re.compile(rf"[A-Za-z0-9._%+-]+\x20?(?:@|{_AT})\x20?[A-Za-z0-9-]+(?:\x20?(?:\.|{_DOT})\x20?[A-Za-z0-9-]+)+", re.IGNORECASE),
+    re.compile(rf"[0-9]{{1,3}}(?:\x20?(?:\.|{_DOT})\x20?[0-9]{{1,3}}){{3}}", re.IGNORECASE),
+    re.compile(r"[0-9](?:[\x20./-]{0,3}[0-9])+"),
+    re.compile(r"[+(]?[0-9](?:[\x20().-]{0,3}[0-9])+"),
+]
+_DATE = re.compile(r"(?:19|20)[0-9]{2}[-.\x20](?:0[1-9]|1[0-2])[-.\x20][0-3][0-9]")
 
 _CLASSES = 24
-_NAMED = {c: 10 + k for k, c in enumerate("@.-+() \n_=:/")}
+_NAMED = {c: 10 + k for k, c in enumerate("@.-+() \n_=:/[")}
+_MARKED = 23  # the characters of a bracketed ``at`` or dot
 
 
 def _class_of(code: int) -> int:
@@ -90,7 +108,10 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def _classes(text: str) -> np.ndarray:
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
-    return _ASCII[np.minimum(codes, 128)]
+    classes = _ASCII[np.minimum(codes, 128)]
+    for mark in _MARK.finditer(text):
+        classes[mark.start() : mark.end()] = _MARKED
+    return classes
 
 
 def _windows(classes: np.ndarray) -> np.ndarray:
@@ -102,63 +123,96 @@ def _windows(classes: np.ndarray) -> np.ndarray:
 
 
 def _active(windows: np.ndarray) -> np.ndarray:
-    return np.flatnonzero(((windows == 1) | (windows == _NAMED["@"])).any(1))
-
-
-def _plausible(kind: int, text: str) -> bool:
-    digits = sum(c in "0123456789" for c in text)
-    if kind == 0:
-        return bool(re.fullmatch(r"[^\s@]+@[^\s@.]+(?:\.[^\s@.]+)+", text))
+    return np.flatnonzero(((windows == 1) | (windows == _NAMED["@"]) | (windows == _MARKED)).any(1))
+
+
+def _plausible(kind: int, text: str, start: int, end: int) -> bool:
+    """Has the span the outward form of its kind, and is it no part of a longer word or number?"""
+    if text[start - 1 : start].isalnum() or text[end : end + 1].isalnum():
+        return False
+    span = text[start:end]
+    if not _FORMS[kind].fullmatch(span):
+        return False
+    numbers = re.findall("[0-9]+", span)
+    digits = "".join(numbers)
     if kind == 1:
-        return bool(re.fullmatch(r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}", text))
+        return all(int(n) <= 255 for n in numbers)
     if kind == 2:
-        return 12 <= digits <= 19 and bool(re.fullmatch(r"[0-9][0-9 .-]*[0-9]", text))
-    return 9 <= digits <= 15 and bool(re.fullmatch(r"[+(0-9][0-9 ().-]*[0-9]", text))
+        return 12 <= len(digits) <= 19 and _luhn(digits)
+    return kind == 0 or (9 <= len(digits) <= 15 and len(numbers) > 1 and not _DATE.match(span))
 
 
 #: Weight of a window's score at each place: a character near its middle counts most.
 _WEIGHT = np.minimum(np.arange(1, WINDOW + 1), np.arange(WINDOW, 0, -1)) / (WINDOW / 2 + 1)
 
 
-def tagged_spans(texts: list[str], model: dict) -> list[list[tuple[int, int, int]]]:
-    """(start, kind, end) that the tagger finds in each text, of plausible form."""
-    rows, owners = [], []
+def _stretches(texts: list[str]) -> Iterator[tuple[int, int, np.ndarray, int, int]]:
+    """Text, first character, windows and the characters at which spans may start, for each run of
+    windows to score. Runs of more than ``LONG`` windows are cut where two pieces share ``SHARED``."""
     for k, text in enumerate(texts):
-        if _HINT.search(text):
-            windows = _windows(_classes(text))
-            for w in _active(windows):
-                rows.append(windows[w])
-                owners.append((k, int(w) - 1))
-    found: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-    if not rows:
-        return found
-    scores = np.concatenate([bilstm.emissions(model, np.stack(rows[i : i + 512])) for i in range(0, len(rows), 512)])
-    scores = scores * _WEIGHT[None, :, None]
-    stretches: list[tuple[int, int, np.ndarray]] = []
-    at = 0
-    while at < len(owners):
-        end = at + 1
-        while end < len(owners) and owners[end] == (owners[at][0], owners[end - 1][1] + 1):
-            end += 1
-        total = np.zeros(((end - at + 1) * STRIDE, TAGS))
+        if not _HINT.search(text):
+            continue
+        windows = _windows(_classes(text))
+        active = _active(windows)
+        for run in np.split(active, np.flatnonzero(np.diff(active) > 1) + 1):
+            for at in range(0, max(1, len(run) - SHARED), LONG - SHARED):
+                piece, last = run[at : at + LONG], at + LONG >= len(run)
+                first = (int(piece[0]) - 1) * STRIDE
+                low = first + (SHARED // 2 * STRIDE if at else 0)
+                high = len(text) if last else first + (len(piece) - SHARED // 2) * STRIDE
+                yield k, first, windows[piece[0] : piece[-1] + 1], low, high
+
+
+def _decode(model: dict, pieces: list[np.ndarray]) -> list[np.ndarray]:
+    """Best tags of each stretch, from the weighted scores of its windows."""
+    every = np.concatenate(pieces)
+    scores = np.concatenate([bilstm.emissions(model, every[i : i + 512]) for i in range(0, len(every), 512)])
+    scores *= _WEIGHT[None, :, None]
+    totals, at = [], 0
+    for piece in pieces:
+        total = np.zeros(((len(piece) + 1) * STRIDE, TAGS))
         weight = np.zeros((len(total), 1))
-        for j in range(at, end):
-            total[(j - at) * STRIDE : (j - at) * STRIDE + WINDOW] += scores[j]
-            weight[(j - at) * STRIDE : (j - at) * STRIDE + WINDOW, 0] += _WEIGHT
-        stretches.append((owners[at][0], owners[at][1] * STRIDE, total / weight))
-        at = end
-    stretches.sort(key=lambda s: len(s[2]))
-    at = 0
-    while at < len(stretches):
-        end = at
-        while end < len(stretches) and len(stretches[end][2]) == len(stretches[at][2]) and end - at < 256:
-            end += 1
-        for (k, first, _), path in zip(stretches[at:end], bilstm.viterbi(model, np.stack([s[2] for s in stretches[at:end]])), strict=True):
-            for start, kind, stop in _spans_of(path):
-                start, stop = max(0, start + first), min(len(texts[k]), stop + first)
-                if start < stop and _plausible(kind, texts[k][start:stop]):
-                    found[k].append((start, kind, stop))
-        at = end
+        for j in range(len(piece)):
+            total[j * STRIDE : j * STRIDE + WINDOW] += scores[at + j]
+            weight[j * STRIDE : j * STRIDE + WINDOW, 0] += _WEIGHT
+        totals.append(total / weight)
+        at += len(piece)
+    by_size: dict[int, list[int]] = {}
+    for k, total in enumerate(totals):
+        by_size.setdefault(len(total), []).append(k)
+    paths: list[np.ndarray] = [None] * len(totals)
+    for members in by_size.values():
+        for k, path in zip(members, bilstm.viterbi(model, np.stack([totals[k] for k in members])), strict=True):
+            paths[k] = path
+    return paths
+
+
+def tagged_spans(texts: list[str], model: dict) -> list[list[tuple[int, int, int]]]:
+    """(start, kind, end) that the tagger finds in each text, of plausible form. Scores are held for
+    about ``GROUP`` windows at once, however long the texts are."""
+    found: list[list[tuple[int, int, int]]] = [[] for _ in texts]
+
+    def settle(group: list) -> None:
+        for (k, first, _, low, high), path in zip(group, _decode(model, [g[2] for g in group]), strict=True):
+            text = texts[k]
+            for start, kind, end in _spans_of(path):
+                start, end = max(0, start + first), min(len(text), end + first)
+                while start < end and not (text[start].isalnum() or text[start] in "+("):
+                    start += 1
+                while start < end and not text[end - 1].isalnum():
+                    end -= 1
+                if start < end and low <= start < high and _plausible(kind, text, start, end):
+                    found[k].append((start, kind, end))
+
+    group, held = [], 0
+    for stretch in _stretches(texts):
+        group.append(stretch)
+        held += len(stretch[2])
+        if held >= GROUP:
+            settle(group)
+            group, held = [], 0
+    if group:
+        settle(group)
     return found
 
 
@@ -175,21 +229,67 @@ def _spans_of(path: np.ndarray) -> list[tuple[int, int, int]]:
     return out
 
 
-def _labelled(text: str, key: int) -> list[tuple[list[int], list[int]]]:
-    """Training windows of a text: those with a digit or ``@``."""
-    spans = base_spans(text)
-    if key % 3 == 0:  # the form without country code
-        for start, kind, end in reversed(spans):
-            cut = text.find(" ", start, end) + 1
-            if kind == 3 and cut and sum(map(str.isdigit, text[cut:end])) >= 9:
-                text = text[:start] + text[cut:]
-                break
-        else:
-            cut = 0
-        if cut:
-            gone = cut - start
-            moved = lambda s: (s[0], s[1], s[2] - gone) if s[0] == start and s[1] == 3 else (s[0] - gone, s[1], s[2] - gone)
-            spans = [s if s[2] <= start else moved(s) for s in spans]
+def _other_form(kind: int, span: str, dice: np.random.Generator) -> str:
+    """The span written in a way that the patterns miss."""
+    pick = lambda *options: options[dice.integers(len(options))]
+    numbers = re.findall("[0-9]+", span)
+    digits = "".join(numbers)
+    if kind == 0:
+        name, host = span.split("@", 1)
+        at = pick("[at]", "(at)", " [at] ", " (at) ", " @ ", " [ at ] ")
+        return name + at + host.replace(".", pick("[dot]", " [dot] ", " (dot) ", "[.]") if dice.random() < 0.6 else ".")
+    if kind == 1:
+        return pick("[.]", " . ", "(.)", "[dot]", " [dot] ").join(numbers)
+    if kind == 2:
+        size = pick(4, 4, 4, 6)
+        return pick(".", "  ", " - ", "/", " . ").join(digits[k : k + size] for k in range(0, len(digits), size))
+    own = digits[-10:]
+    a, b, c = own[:3], own[3:6], own[6:]
+    code = digits[:-10]
+    rest = pick(f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"{a} {b} {c}", f"({a}) {b} {c}", f"({a}){b}-{c}")
+    return f"{code}{pick(' ', '-', '.')}{rest}" if code and dice.random() < 0.4 else rest
+
+
+def _decoy(dice: np.random.Generator) -> str:
+    """Digits that are no personal data: dates, versions, amounts, ranges, codes."""
+    n = lambda low, high: int(dice.integers(low, high))
+    date = f"{n(1950, 2050)}-{n(1, 13):02}-{n(1, 29):02}"
+    return (
+        date, f"{date} {n(0, 24):02}:{n(0, 60):02}:{n(0, 60):02}", f"v{n(0, 20)}.{n(0, 20)}.{n(0, 99)}",
+        f"{n(1, 999)},{n(100, 999)},{n(100, 999)}.{n(10, 99)}", f"{n(1900, 2030)}-{n(1900, 2030)}", str(n(0, 10**9)),
+        f"{n(0, 2**40):010x}", f"{n(1, 99)}.{n(1, 99)}.{n(1950, 2050)}", f"#{n(0, 10**6)}-{n(0, 99)}", f"{n(0, 9)}.{n(0, 10**6)}e-{n(1, 20)}",
+        f"{n(1, 200)} . {n(1, 200)}", f"({n(1, 99)})", f"{n(1, 20)} @ {n(1, 99)}.{n(10, 99)}",
+    )[n(0, 13)]
+
+
+def altered(text: str, variant: int) -> tuple[str, list[tuple[int, int, int]]]:
+    """The text with its spans written in other ways, and (start, kind, end) of the result. Some spans
+    are left as they are, some give way to decoys, which are no spans. Of spans that overlap the
+    first is taken; equal texts and variants give equal results."""
+    dice = np.random.default_rng([zlib.crc32(text.encode("utf-8", "surrogatepass")), variant])
+    out, spans, at, length = [], [], 0, 0
+    for start, kind, end in base_spans(text):
+        if start < at:
+            continue
+        chance = dice.random()
+        span = text[start:end] if chance < 0.15 else _decoy(dice) if chance < 0.35 else _other_form(kind, text[start:end], dice)
+        out += [text[at:start], span]
+        length += start - at
+        if not 0.15 <= chance < 0.35:
+            spans.append((length, kind, length + len(span)))
+        length += len(span)
+        at = end
+    return "".join(out) + text[at:], spans
+
+
+def _meets(span: tuple[int, int, int], starts: list[int], ends: list[int]) -> bool:
+    """Does the span overlap any of those with these ``starts`` (sorted) and largest ``ends`` so far?"""
+    before = bisect_right(starts, span[2] - 1)
+    return before > 0 and ends[before - 1] > span[0]
+
+
+def _labelled(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[list[int], list[int]]]:
+    """Training windows of a text: those that are scored when spans are sought."""
     tags = np.zeros(len(text) + 2 * WINDOW, np.int64)
     for start, kind, end in reversed(spans):
         tags[STRIDE + start : STRIDE + end] = 2 * kind + 2
@@ -198,7 +298,18 @@ def _labelled(text: str, key: int) -> list[tuple[list[int], list[int]]]:
     return [(windows[w].tolist(), tags[w * STRIDE : w * STRIDE + WINDOW].tolist()) for w in _active(windows)]
 
 
-def fit(docs: DataFrame, max_windows: int = MAX_WINDOWS, steps: int = 240) -> dict:
+def training_windows(text: str) -> list[tuple[list[int], list[int]]]:
+    """Labelled windows of a text as it stands and of its altered copies."""
+    if not _HINT.search(text):
+        return []
+    spans = base_spans(text)
+    made = _labelled(text, spans)
+    for variant in range(VARIANTS if spans else 0):
+        made += _labelled(*altered(text, variant))
+    return made
+
+
+def fit(docs: DataFrame, max_windows: int = MAX_WINDOWS, steps: int = 700) -> dict:
     """The tagger, from at most ``max_windows`` labelled windows, those with the smallest hash of
     their content. Without any the untrained tagger is returned, whose spans rarely have a
     plausible form."""
@@ -207,8 +318,7 @@ def fit(docs: DataFrame, max_windows: int = MAX_WINDOWS, steps: int = 240) -> di
         for batch in slices(batches):
             made = []
             for text in batch.column(0).to_pylist():
-                if _HINT.search(text):
-                    made += _labelled(text, len(text))
+                made += training_windows(text)
             x, y = zip(*made, strict=True) if made else ((), ())
             yield pa.record_batch([pa.array(x, pa.list_(pa.int64())), pa.array(y, pa.list_(pa.int64()))], ["x", "y"])
 
@@ -234,7 +344,8 @@ def find_spans(docs: DataFrame, model: dict) -> DataFrame:
             out = []
             for text, tagged in zip(texts, tagged_spans(texts, model), strict=True):
                 base = base_spans(text)
-                more = [s for s in tagged if all(s[2] <= b[0] or s[0] >= b[2] for b in base)]
+                starts, ends = [b[0] for b in base], list(accumulate((b[2] for b in base), max))
+                more = [s for s in tagged if not _meets(s, starts, ends)]
                 spans = sorted([(*s, True) for s in base] + [(*s, False) for s in more])
                 out.append([{"kind": k, "start": s, "end": e, "base": b} for s, k, e, b in spans])
             kind = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_())]))

@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cartwise.llm import bpe, chat, exact_dedup, fingerprints, line_dedup, near_dedup, packing, pii, token_files, toxicity
+from cartwise.llm import bilstm, bpe, chat, exact_dedup, fingerprints, line_dedup, near_dedup, packing, pii, token_files, toxicity
 from cartwise.llm.tokens import Encoder, default_path
 from cartwise.session import scratch_path
 
@@ -125,6 +125,83 @@ def test_the_tagger_learns_and_joins_windows(spark):
     assert hits >= 0.8 * sum(map(len, want))
 
 
+def personal(dice):
+    number = lambda n: "".join(dice.choice("0123456789") for _ in range(n))
+    card = "4" + number(14)
+    return dice.choice([
+        f"{dice.choice(['ann', 'jo.b', 'x_y'])}{number(2)}@mail{number(1)}.example.{dice.choice(['com', 'org'])}",
+        ".".join(str(dice.randrange(256)) for _ in range(4)),
+        next(card + d for d in "0123456789" if pii._luhn(card + d)),
+        f"+1 ({number(3)}) 555-{number(4)}",
+    ])
+
+
+def test_the_tagger_adds_spans_that_the_patterns_miss(spark):
+    dice = random.Random(16)
+    texts = [f"{prose(k, dice.randrange(30))} {personal(dice)} {prose(k + 1, 20)} {personal(dice)}." for k in range(500)]
+    clean = [f"{prose(k, 9)} {dice.randrange(10**6)} in {dice.randrange(1900, 2030)}-{dice.randrange(10, 13)}-10, v1.{k}" for k in range(200)]
+    model = pii.fit(spark.createDataFrame([(t,) for t in texts[:350]], "text string"))
+    held = [pii.altered(t, 99) for t in texts[350:]]
+    found = pii.tagged_spans([text for text, _ in held], model)
+    missed = [set(spans) - set(plain_base(text)) for text, spans in held]
+    hits = [len(want & set(got)) for want, got in zip(missed, found, strict=True)]
+    assert sum(map(len, missed)) > 150 and sum(hits) >= 0.9 * sum(map(len, missed))
+    extra = sum(len(set(got) - set(spans) - set(plain_base(text))) for (text, spans), got in zip(held, found, strict=True))
+    assert extra <= 0.05 * sum(hits)
+    assert sum(map(bool, pii.tagged_spans(clean, model))) <= 2
+    report = pii.find_spans(spark.createDataFrame([(t,) for t, _ in held], "text string"), model)
+    assert report.selectExpr("sum(size(filter(pii, s -> not s.base)))").first()[0] >= sum(hits)
+
+
+def test_altered_texts_carry_their_spans():
+    dice = random.Random(17)
+    for k in range(300):
+        text = f"é {personal(dice)} and {personal(dice)} {prose(k, 5)}"
+        changed, spans = pii.altered(text, k % 3)
+        assert (changed, spans) == pii.altered(text, k % 3)
+        for start, kind, end in spans:
+            assert pii._plausible(kind, changed, start, end), (changed, spans)
+    assert pii.altered("", 0) == ("", []) and pii.altered("no data", 1) == ("no data", [])
+
+
+def test_long_stretches_are_decoded_in_pieces(monkeypatch):
+    dice = random.Random(18)
+    text = " ".join(f"{personal(dice)} of {dice.randrange(10**5)}, then" for _ in range(600))
+    made = [w for v in range(4) for w in pii._labelled(*pii.altered(text, v))]
+    x, y = (np.array([w[k] for w in made]) for k in (0, 1))
+    model = bilstm.train(x, y, pii._CLASSES, pii.TAGS, 250)
+    monkeypatch.setattr(pii, "LONG", 10**6)
+    whole = pii.tagged_spans([text, ""], model)
+    assert len(whole[0]) > 300
+    for long, group in ((64, 100), (40, 1)):
+        monkeypatch.setattr(pii, "LONG", long)
+        monkeypatch.setattr(pii, "GROUP", group)
+        assert len(set(whole[0]) ^ set(pii.tagged_spans([text, ""], model)[0])) <= 2
+
+
+def test_crf_equals_brute_force_and_its_gradients_the_differences():
+    dice = np.random.default_rng(19)
+    model = bilstm.start_model(4, 3, seed=3)
+    model["trans"] = dice.normal(0, 1, (3, 3))
+    x, y = dice.integers(0, 4, (2, 5)), dice.integers(0, 3, (2, 5))
+    scores = bilstm.emissions(model, x)
+    total = lambda e, tags: e[range(5), tags].sum() + sum(model["trans"][a, b] for a, b in itertools.pairwise(tags))
+    every = [list(tags) for tags in itertools.product(range(3), repeat=5)]
+    losses = [np.log(sum(np.exp(total(e, t)) for t in every)) - total(e, list(gold)) for e, gold in zip(scores, y, strict=True)]
+    loss, grads = bilstm._step(model, x, y)
+    assert abs(loss - np.mean(losses)) < 1e-9
+    assert [list(p) for p in bilstm.viterbi(model, scores)] == [max(every, key=lambda t: total(e, t)) for e in scores]
+    for name, grad in grads.items():
+        for _ in range(4):
+            at = tuple(dice.integers(0, n) for n in grad.shape)
+            sides = []
+            for step in (1e-5, -1e-5):
+                moved = {k: v.copy() for k, v in model.items()}
+                moved[name][at] += step
+                sides.append(bilstm._step(moved, x, y)[0])
+            assert abs((sides[0] - sides[1]) / 2e-5 - grad[at]) < 1e-6, name
+
+
 # Tokens
 
 
