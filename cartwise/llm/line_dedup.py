@@ -39,6 +39,23 @@ def document_lines(docs: DataFrame) -> DataFrame:
     return lean.select(*_ROW, "at", normalised(F.col("raw")).alias("line"))
 
 
+def lines_at(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """``line_id, line`` for ``places`` (``line_id``, ``place``: ``doc_id``, ``row``, ``at``): only documents
+    that hold a place are cut into lines, and of those only the lines asked for are normalised."""
+    wanted = places.groupBy(F.col("place.doc_id").alias("in_id"), F.col("place.row").alias("in_row")).agg(
+        F.collect_list(F.struct("place.at", "line_id")).alias("wanted")
+    )
+    lean = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("row"), text_of().alias("body"))
+    held = lean.join(wanted, F.col("doc_id").eqNullSafe(F.col("in_id")) & (F.col("row") == F.col("in_row")))
+    # As the element of an outer array the lines are bound once, not made anew for each place.
+    cut = F.transform(
+        F.array(F.split("body", "\n", -1)),
+        lambda own: F.transform("wanted", lambda w: F.struct(w["line_id"].alias("line_id"), F.get(own, w["at"]).alias("raw"))),
+    )[0]
+    raw = held.select(F.explode(cut).alias("of")).groupBy("of.line_id").agg(F.first("of.raw").alias("raw"))
+    return raw.select("line_id", normalised(F.col("raw")).alias("line"))
+
+
 def half_keys(line: Column) -> list[Column]:
     """The four half keys of a line."""
     n = F.char_length(line)
@@ -126,8 +143,8 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 
     half = F.explode(F.array_distinct(F.array(*[f"half_{k}" for k in range(4)]))).alias("half")
     met = distinct.select("line_id", half).withColumn("n", F.count("*").over(Window.partitionBy("half")))
-    likely = stored(met.where("n > 1").select("line_id").distinct(), "likely-ids")
-    texts = lines.select("line_id", "line").join(likely, "line_id").groupBy("line_id").agg(F.first("line").alias("line"))
+    likely = met.where("n > 1").select("line_id").distinct()
+    texts = lines_at(docs, distinct.join(likely, "line_id").groupBy("line_id").agg(F.min("first").alias("place")))
     groups = line_groups(stored(texts, "likely-lines"))
 
     named = distinct.select("line_id", "check", "first", "places").join(groups, "line_id", "left")
