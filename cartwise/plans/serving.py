@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cartwise.operators.history import WARM_FROM, user_tiers
 from cartwise.operators.hybrid import recommendations_for
-from cartwise.operators.metadata import add_metadata
+from cartwise.operators.metadata import FOLDED_COLUMNS, add_folded_metadata, add_metadata
 from cartwise.operators.popularity import diversified_items, first_source_wins, seeded_sample, union_lists
 from cartwise.session import materialise
 
@@ -37,8 +37,9 @@ def recommend_all_users(
     k: int = 10,
     seed: int = 42,
     warm_from: int = WARM_FROM,
+    folded: bool = False,
 ) -> DataFrame:
-    """Lists by tier, with metadata.
+    """Lists by tier, with metadata: a row for each variant, or one with the variants folded (``add_folded_metadata``).
 
     New users: half trending, half popular. Cold-start users: 4 of their own hybrid
     products, 3 trending, 3 popular (for ``k=10``). Warm users: their top ``k``
@@ -63,8 +64,9 @@ def recommend_all_users(
     repeated = cold_own.select("user_id", "product_id")
     cold_given = given.where(F.col("tier") == "cold_start").join(repeated, ["user_id", "product_id"], "left_anti")
     lists = union_lists(warm, cold_own, given.where(F.col("tier") == "new"), cold_given)
-    return add_metadata(lists, metadata, spread_by=["user_id"]).select(
-        "user_id", "tier", "product_id", "brand", "category_code", "price", "final_score", "score", "source"
+    add, columns = (add_folded_metadata, FOLDED_COLUMNS) if folded else (add_metadata, ["brand", "category_code", "price"])
+    return add(lists, metadata, spread_by=["user_id"]).select(
+        "user_id", "tier", "product_id", *columns, "final_score", "score", "source"
     )
 
 

@@ -75,6 +75,21 @@ def test_lists_meet_the_metadata_in_one_join(spark):
     assert max(counted.values()) > 10
 
 
+def test_folded_variants_equal_the_grouped_rows(spark):
+    log = _log(spark).withColumn("price", F.col("event_id") / 4.0)
+    log = log.withColumn("brand", F.when(F.col("event_id") % 3 != 0, F.concat("brand", (F.col("event_id") % 5).cast("string"))))
+    scored = spark.createDataFrame([(u, p, p / 100) for u in (11, 15, 16) for p in range(10, 25)], SCORED)
+    inputs = (_users(spark), log, scored, trending_items(log, 10, days=None), popular_items(log), metadata_variants(log))
+    folded = recommend_all_users(*inputs, folded=True)
+    assert folded.count() == folded.select("user_id", "product_id").distinct().count()
+    names = ["user_id", "tier", "product_id", "n_variants", "n_brands", "max_price"]
+    grouped = recommend_all_users(*inputs).groupBy("user_id", "tier", "product_id").agg(
+        F.count(F.lit(1)).alias("n_variants"), F.count_distinct("brand").alias("n_brands"), F.max("price").alias("max_price")
+    )
+    assert {r.n_variants for r in folded.collect()} > {1}
+    assert rows(folded.select(names)) == rows(grouped.select(names))
+
+
 def test_variants_fan_out_and_latest_does_not(spark):
     log = events(spark, [(1, "view", 5), (1, "view", 5), (2, "view", 5)])
     log = log.withColumn("price", F.col("event_id") / 2.0)
