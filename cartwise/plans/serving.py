@@ -9,7 +9,7 @@ from cartwise.operators.history import WARM_FROM, user_tiers
 from cartwise.operators.hybrid import recommendations_for
 from cartwise.operators.metadata import FOLDED_COLUMNS, add_folded_metadata, add_metadata
 from cartwise.operators.popularity import diversified_items, first_source_wins, seeded_sample, union_lists
-from cartwise.session import materialise
+from cartwise.session import dealt, materialise
 
 
 def shared_lists(trending: DataFrame, popular: DataFrame, k: int = 10, seed: int = 42) -> tuple[DataFrame, DataFrame]:
@@ -54,8 +54,8 @@ def recommend_all_users(
     tiers = materialise(user_tiers(history, users, warm_from).select("user_id", "tier"))
     for_new, for_cold = shared_lists(trending, popular, k, seed)
     known = tiers.where(F.col("tier") != "new")
-    # At most k rows per user, read three times below.
-    own = materialise(recommendations_for(scored, known, k).join(known, "user_id"))
+    # At most k rows per user, read three times below. Best scores and lists are made in tasks of so many scores.
+    own = materialise(recommendations_for(dealt(scored, "user_id"), known, k).join(known, "user_id"))
 
     warm = own.where(F.col("tier") == "warm")
     cold_own = seeded_sample(own.where(F.col("tier") == "cold_start"), int(k * 0.4), seed, ["user_id"])

@@ -2,9 +2,12 @@ import json
 
 from pyspark.sql import functions as F
 
+from cartwise import session
 from cartwise.operators.history import user_history, user_tiers
+from cartwise.operators.hybrid import recommendations_for
 from cartwise.operators.metadata import add_metadata, latest_metadata, metadata_variants
 from cartwise.operators.popularity import popular_items, trending_items
+from cartwise.plans import serving
 from cartwise.plans.serving import as_json, recommend_all_users, recommend_anonymous
 from tests.helpers import events, rows
 
@@ -90,6 +93,23 @@ def test_folded_variants_equal_the_grouped_rows(spark):
     assert rows(folded.select(names)) == rows(grouped.select(names))
 
 
+def test_scores_of_users_are_ranked_in_tasks_of_a_size(spark, monkeypatch):
+    monkeypatch.setattr(session, "ROWS_PER_TASK", 50)
+    log, tasks = _log(spark), []
+    scored = spark.createDataFrame([(u, p, p / 100) for u in range(10, 60) for p in range(10, 25)], SCORED)
+
+    def counting(scored, *args):
+        tasks.append(scored.rdd.getNumPartitions())
+        return recommendations_for(scored, *args)
+
+    monkeypatch.setattr(serving, "recommendations_for", counting)
+    lists = recommend_all_users(
+        _users(spark), log, scored, trending_items(log, 10, days=None), popular_items(log), latest_metadata(log)
+    )
+    assert sorted(r.product_id for r in lists.where("user_id = 16").collect()) == list(range(15, 25))
+    assert tasks == [15]
+
+
 def test_variants_fan_out_and_latest_does_not(spark):
     log = events(spark, [(1, "view", 5), (1, "view", 5), (2, "view", 5)])
     log = log.withColumn("price", F.col("event_id") / 2.0)
