@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cartwise.llm import tokens
-from cartwise.llm.common import partitions, slices, stored, text_of
+from cartwise.llm.common import partitions, stored, text_batches, text_of
 
 CAPACITY = 4096
 ITEM, GAP = 0, 1
@@ -42,10 +42,11 @@ def token_pieces(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1,
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = tokens.encoder(path)
-        for batch in slices(batches):
+        for batch in tokens.text_slices(batches, 1):
             rows: list[tuple] = []
-            for doc_id, ids in zip(batch.column(0).to_pylist(), own.encode_all(batch.column(1).to_pylist()), strict=True):
-                ids += end
+            flat, ends = own.encode_column(batch.column(1))
+            for doc_id, own_ids in zip(batch.column(0).to_pylist(), np.split(flat, ends[:-1]), strict=True):
+                ids = own_ids.tobytes() + end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     rows.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part)))
@@ -55,6 +56,7 @@ def token_pieces(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1,
                 [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"]
             )
 
+    text_batches(docs.sparkSession)
     lean = docs.select(F.col("doc_id").cast("long"), text_of().alias("text"))
     made = lean.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
     return stored(made.withColumn("uid", F.monotonically_increasing_id()), "pieces")

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cartwise.llm import bilstm
-from cartwise.llm.common import slices, text_of
+from cartwise.llm.common import slices, text_batches, text_of
 
 KINDS = ("email", "ip", "card", "phone")
 WINDOW, STRIDE = 64, 32
@@ -335,6 +335,7 @@ def find_spans(docs: DataFrame, model: dict) -> DataFrame:
     """``docs`` with ``pii``, the spans by start, then kind: ``kind`` (number in ``KINDS``), ``start``, ``end``
     (characters, end exclusive) and ``base`` (found by a pattern). A null or empty text has none; a
     column ``pii`` of ``docs`` is replaced."""
+    text_batches(docs.sparkSession)
     docs = docs.drop("pii")
     at = docs.columns.index("text")
 

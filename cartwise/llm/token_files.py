@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartwise.llm import tokens
-from cartwise.llm.common import partitions, slices, text_of
+from cartwise.llm.common import partitions, text_batches, text_of
 
 NO_ID = np.iinfo(np.int64).min
 _BATCH = 8 << 20  # bytes of ids handed over at once
@@ -51,21 +51,20 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = tokens.encoder(path)
         kind = "<u2" if own.vocabulary <= 1 << 16 else "<u4"
-        end = np.array([end_id], "<u4").tobytes()
         context = TaskContext.get()
         part, attempt = context.partitionId(), context.taskAttemptId()
         files, base = _file_system(folder)
         names = [f"{base}/{n}-{part:05d}.bin" for n in ("tokens", "offsets", "ids")]
         count = total = 0
         out = None
-        for batch in slices(batches):
+        for batch in tokens.text_slices(batches, 1):
             if out is None:
                 files.create_dir(base, recursive=True)
                 out = [files.open_output_stream(f"{n}.{attempt}") for n in names]
                 out[1].write(np.zeros(1, "<i8").tobytes())
-            encoded = [ids + end for ids in own.encode_all(batch.column(1).to_pylist())]
-            out[0].write(np.frombuffer(b"".join(encoded), "<u4").astype(kind).tobytes())
-            ends = total + np.cumsum([len(e) // 4 for e in encoded])
+            ids, ends = own.encode_column(batch.column(1))
+            out[0].write(np.insert(ids, ends, end_id).astype(kind).tobytes())
+            ends = total + ends + np.arange(1, len(ends) + 1)  # with the end ids
             out[1].write(ends.astype("<i8").tobytes())
             out[2].write(batch.column(0).fill_null(NO_ID).to_numpy(zero_copy_only=False).astype("<i8").tobytes())
             total, count = int(ends[-1]), count + batch.num_rows
@@ -76,6 +75,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
             yield pa.record_batch([pa.array([part]), pa.array([count]), pa.array([total]), pa.array([kind])], ["part", "docs", "tokens", "kind"])
 
     spark = docs.sparkSession
+    text_batches(spark)
     ordered = (
         docs.select(F.col("doc_id").cast("long"), text_of().alias("text"))
         .repartitionByRange(partitions(spark), "doc_id")

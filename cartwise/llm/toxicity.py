@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartwise.llm.common import slices, stored, text_of
+from cartwise.llm.common import slices, stored, text_batches, text_of
 
 MAX_LABELLED = 20_000
 MAX_LEXICON = 4_000
@@ -100,7 +100,7 @@ class _Lexicon(dict):
     """Weight of a word: the largest of its own and those of its beginnings, or None. Words
     once looked up are kept, ``room`` of them at most."""
 
-    def __init__(self, weights: dict[bytes, float], room: int = 200_000):
+    def __init__(self, weights: dict[bytes, float], room: int = 50_000):
         super().__init__()
         self.weights, self.room = weights, room
 
@@ -263,6 +263,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     Rows without id or label are left out, of a repeated id the largest label counts. With no
     labelled row, or with one class only, every text gets the base rate.
     """
+    text_batches(docs.sparkSession)
     labelled = (
         labels.where("doc_id is not null and toxic is not null")
         .groupBy("doc_id").agg(F.max(F.col("toxic").cast("long")).alias("toxic"))
@@ -308,6 +309,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
 
     A null text is scored as empty. Columns of ``docs`` with these names are replaced.
     """
+    text_batches(docs.sparkSession)
     docs = docs.drop("score", "predicted")
     kept = docs.columns
     at = kept.index("text")

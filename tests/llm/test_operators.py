@@ -10,6 +10,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -233,6 +234,43 @@ def test_a_batch_gives_the_ids_of_each_text(monkeypatch):
         assert all(len(p) <= tokens.LONGEST for p in [*own.first, *own.rest])
 
 
+def test_runs_go_to_the_model_once_and_without_the_library_s_split(monkeypatch):
+    from cartwise.llm import tokens
+
+    texts = pa.array(["Éte foo, foo.\nbar 12a (foo)", "", "foo it's x", "a  b foo"])
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        own, seen, split = Encoder(default_path(name)), [], []
+        merged, whole = own._merged, own._whole
+        monkeypatch.setattr(own, "_merged", lambda runs: seen.extend(runs) or merged(runs))
+        monkeypatch.setattr(own, "_whole", lambda pieces: split.extend(pieces) or whole(pieces))
+        flat, ends = own.encode_column(texts)
+        want = [own.tokenizer.encode(t.as_py(), add_special_tokens=False).ids for t in texts]
+        assert [part.tolist() for part in np.split(flat, ends[:-1])] == want
+        assert len(seen) == len(set(seen)) and {p.strip() for p in split} <= {"it's", "", "a"}  # a: before two blanks
+    batch = pa.record_batch([pa.array(["x" * 50, None, "y" * 500, "z"] * 10)], ["text"])
+    cut = list(tokens.text_slices([batch], 0, 300))
+    assert pa.Table.from_batches(cut).combine_chunks() == pa.Table.from_batches([batch]) and len(cut) > 10
+
+
+def test_long_texts_reach_the_workers_in_small_batches(spark, monkeypatch):
+    from cartwise.llm import common
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    sizes = lambda it: (pa.record_batch([pa.array([b.num_rows])], ["n"]) for b in it)
+    before = spark.conf.get(key)
+    try:
+        spark.conf.unset(key)
+        monkeypatch.setattr(common, "BATCH_BYTES", 100_000)
+        docs = spark.range(0, 2000, 1, 1).select("id", F.repeat(F.lit("x"), 1000).alias("text"))
+        toxicity.score(docs, {"lexicon": {}, "trees": (0.0, []), "knots": (np.array([]), np.array([]))})
+        assert max(r.n for r in docs.mapInArrow(sizes, "n long").collect()) <= 200
+        spark.conf.set(key, "64k")  # a limit that was set stays
+        common.text_batches(spark)
+        assert spark.conf.get(key) == "64k"
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_bpe_of_repeated_rows_longer_than_a_block(spark, documents):
     text = "one two three one two " * 30
     docs = documents([(1, text)] * 5 + [(2, text), (None, text), (None, text)]).coalesce(1)
