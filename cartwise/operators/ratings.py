@@ -11,7 +11,7 @@ from cartwise.functions.sampling import seeded_percent
 from cartwise.functions.scoring import implicit_rating
 from cartwise.operators.cleaning import training_rows
 from cartwise.operators.ranking import number_rows
-from cartwise.session import materialise
+from cartwise.session import materialise, tasks_for
 
 
 def rate_events(events: DataFrame) -> DataFrame:
@@ -28,14 +28,17 @@ def index_ratings(
 ) -> DataFrame:
     """``(user_index, product_index, rating)`` as ALS takes it.
 
-    ``aggregate`` is ``None`` (one row per event), ``"sum"`` or ``"max"`` per pair.
+    ``aggregate`` is ``None`` (one row per event), ``"sum"`` or ``"max"`` per pair. Pairs are folded in tasks
+    of a size; ``rated`` is counted for that, so it should be a stored table. In the id joins each task holds
+    its share of an index, not of the ratings, which are neither sorted nor kept.
     """
     if aggregate:
         fold = {"sum": F.sum, "max": F.max}[aggregate]
-        rated = rated.groupBy("user_id", "product_id").agg(fold("rating").alias("rating"))
+        pairs = rated.repartition(tasks_for(rated.count()), "user_id", "product_id")
+        rated = pairs.groupBy("user_id", "product_id").agg(fold("rating").alias("rating"))
     return (
-        rated.join(users, "user_id")
-        .join(products, "product_id")
+        rated.join(users.hint("shuffle_hash"), "user_id")
+        .join(products.hint("shuffle_hash"), "product_id")
         .select(
             F.col("user_index").cast("int").alias("user_index"),
             F.col("product_index").cast("int").alias("product_index"),

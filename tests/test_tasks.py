@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from cartwise import session
+from cartwise.operators import ratings
 from tests.helpers import rows
 from workload import views
 
@@ -41,3 +42,13 @@ def test_order_lines_meet_their_orders_in_tasks_of_a_size(spark, monkeypatch, tm
     assert got.count() == 1600 and got.where("l_orderkey <> o_orderkey").count() == 0
     assert len(_per_task(got)) > 10
     assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pairs_are_folded_in_tasks_of_a_size_and_joined_without_sorting(spark, monkeypatch):
+    monkeypatch.setattr(session, "ROWS_PER_TASK", 100)
+    log = spark.range(2000).select((F.col("id") % 50).alias("user_id"), (F.col("id") % 30).alias("product_id"), F.lit(0.5).alias("rating"))
+    index = lambda key, name: log.select(key).distinct().select(key, F.col(key).alias(name))
+    got = ratings.index_ratings(log, index("user_id", "user_index"), index("product_id", "product_index"), "sum")
+    assert {tuple(r) for r in got.collect()} == {(k % 50, k % 30, 2000 // 150 * 0.5 + (0.5 if k < 2000 % 150 else 0)) for k in range(150)}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and plan.count("ShuffledHashJoin") >= 2 and "SortMergeJoin" not in plan
