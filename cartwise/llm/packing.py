@@ -23,9 +23,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cartwise.llm import tokens
-from cartwise.llm.common import partitions, stored, text_batches, text_of
+from cartwise.llm.common import stored, text_batches, text_of
 
 CAPACITY = 4096
+SWEPT_ROWS = 100_000  # items and slots that a task sweeps, about
 ITEM, GAP = 0, 1
 PLACED, FREE_SLOT, LEFT_ITEM = 0, 1, 2
 _SWEPT = "state int, part int, at long, uid long, length long, sequence_id long, gap long"
@@ -55,6 +56,7 @@ def token_pieces(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1,
             yield pa.record_batch(
                 [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"]
             )
+        own.forget()
 
     text_batches(docs.sparkSession)
     lean = docs.select(F.col("doc_id").cast("long"), text_of().alias("text"))
@@ -135,7 +137,6 @@ def best_fit(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Places for ``pieces`` (``uid``, unique and not null; ``length`` from 1 to ``capacity``):
     ``uid, sequence_id, offset``. The pieces of a sequence follow each other without a gap."""
     spark = pieces.sparkSession
-    n = partitions(spark)
     pieces = pieces.select(F.col("uid").cast("long"), F.col("length").cast("long"))
     low, high = pieces.agg(F.min("length"), F.max("length")).first()
     if low is not None and (low < 1 or high > capacity):
@@ -145,23 +146,23 @@ def best_fit(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     items = pieces.where(~large).select(F.col("uid").alias("id"), F.col("length").alias("size"))
     gaps = pieces.where(large).select(F.col("uid").alias("id"), (capacity - F.col("length")).alias("size")).where("size > 0")
     opened, turn, last = 0, 0, None
-    while True:
-        count, total, least, most = items.agg(F.count("*"), F.sum("size"), F.min("size"), F.max("size")).first()
-        if not count:
-            break
+    count, total, least, most = items.agg(F.count("*"), F.sum("size"), F.min("size"), F.max("size")).first()
+    while count:
         turn += 1
         gaps = gaps.where(F.col("size") >= least)
-        if (last is not None and last * 1000 < count) or gaps.isEmpty():
+        slots = F.greatest(F.lit(1).cast("long"), F.floor(F.col("size") / most))
+        free = gaps.agg(F.sum(slots)).first()[0] or 0
+        if (last is not None and last * 1000 < count) or not free:
             new = -(-total // capacity)
             fresh = spark.range(new).select((F.lit(-1 - opened) - F.col("id")).alias("id"), F.lit(capacity).cast("long").alias("size"))
-            gaps, opened = gaps.unionByName(fresh), opened + new
-        slots = F.greatest(F.lit(1).cast("long"), F.floor(F.col("size") / most))
+            gaps, opened, free = gaps.unionByName(fresh), opened + new, free + new * max(1, capacity // most)
         slotted = gaps.withColumn("slots", slots).select(
             F.floor(F.col("size") / F.col("slots")).alias("size"), F.lit(GAP).alias("kind"), "id", F.col("size").alias("gap"),
             F.explode(F.sequence(F.lit(1).cast("long"), F.col("slots"))).alias("slot"),
         )
         events = items.select("size", F.lit(ITEM).alias("kind"), "id", F.lit(0).cast("long").alias("gap"), F.lit(0).cast("long").alias("slot"))
         order = ["size", "kind", "id", "slot"]
+        n = -(-(count + free) // SWEPT_ROWS)  # more rows make more tasks; few rows are not dealt to many
         ranged = events.unionByName(slotted).repartitionByRange(n, *order).sortWithinPartitions(*order)
         swept = stored(ranged.mapInArrow(_sweep, _SWEPT), "swept")
         state = stored(_resolved(swept), "matched")
@@ -173,7 +174,10 @@ def best_fit(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             state.where(F.col("state") != LEFT_ITEM).groupBy(F.col("sequence_id").alias("id"))
             .agg((F.max("gap") - used).alias("size")).where("size > 0")
         )
-        last = done.count()
+        left = F.col("state") == LEFT_ITEM
+        last, count, total, least, most = state.agg(
+            F.count(F.when(F.col("state") == PLACED, 1)), F.count(F.when(left, 1)), *[of(F.when(left, F.col("length"))) for of in (F.sum, F.min, F.max)]
+        ).first()
     every = placed[0]
     for more in placed[1:]:
         every = every.unionByName(more)

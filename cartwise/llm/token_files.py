@@ -68,6 +68,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
             out[1].write(ends.astype("<i8").tobytes())
             out[2].write(batch.column(0).fill_null(NO_ID).to_numpy(zero_copy_only=False).astype("<i8").tobytes())
             total, count = int(ends[-1]), count + batch.num_rows
+        own.forget()
         if out is not None:
             for stream, name in zip(out, names, strict=True):
                 stream.close()

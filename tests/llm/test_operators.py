@@ -252,6 +252,36 @@ def test_runs_go_to_the_model_once_and_without_the_library_s_split(monkeypatch):
     assert pa.Table.from_batches(cut).combine_chunks() == pa.Table.from_batches([batch]) and len(cut) > 10
 
 
+def test_pieces_of_known_runs_cost_no_call(monkeypatch):
+    from cartwise.llm import tokens
+
+    letters = [chr(c) for c in range(33, 0x250)] + ["\n", "a\nb", "12", "3!"]
+    dice = random.Random(5)
+    texts = pa.array([" ".join("".join(dice.choices(letters, k=dice.randrange(1, 6))) for _ in range(50)) for _ in range(40)])
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        own = Encoder(default_path(name))
+        for column in (texts, texts.slice(3), texts.cast(pa.large_string())):
+            flat, ends = own.encode_column(column)
+            want = [own.tokenizer.encode(t.as_py(), add_special_tokens=False).ids for t in column]
+            assert [part.tolist() for part in np.split(flat, ends[:-1])] == want
+        own.encode_column(pa.array(["x foo bar z. z, z) z1"]))
+        for method in ("_merged", "_whole"):
+            monkeypatch.setattr(own, method, lambda new: pytest.fail(f"{new} known or made of known runs") if new else {})
+        own.encode_column(pa.array(["x foo, bar) foo. bar1"]))  # other pieces, the same runs
+        assert not {"foo,", " foo,"} & {*own.first, *own.rest}
+        own.forget()
+        assert not own.first and not own.rest
+
+
+def test_workers_give_back_what_arrow_holds(monkeypatch):
+    from cartwise.llm import tokens
+
+    calls = []
+    monkeypatch.setattr(tokens, "give_back", lambda: calls.append("texts"))
+    batch = pa.record_batch([pa.array(["x" * 50] * 40)], ["text"])
+    assert sum(b.num_rows for b in tokens.text_slices([batch], 0, 1100)) == 40 and calls == ["texts"] * 2
+
+
 def test_long_texts_reach_the_workers_in_small_batches(spark, monkeypatch):
     from cartwise.llm import common
 
@@ -508,6 +538,26 @@ def test_best_fit(spark, shape):
     assert len(sequences) <= 1.03 * best_fit_decreasing(lengths, 100) + 1
 
 
+def test_tasks_of_a_sweep_follow_its_rows(spark, monkeypatch):
+    dice = random.Random(12)
+    pieces = spark.createDataFrame([(k, dice.randrange(1, 60)) for k in range(400)], "uid long, length long").cache()
+    parts = []
+    stored = packing.stored
+
+    def seen(df, label):
+        out = stored(df, label)
+        if label == "swept":
+            parts.append(out.select("part").distinct().count())
+        return out
+
+    monkeypatch.setattr(packing, "stored", seen)
+    one = {tuple(r) for r in packing.best_fit(pieces, 100).collect()}
+    assert set(parts) == {1}  # however many shuffle partitions there are
+    parts.clear()
+    monkeypatch.setattr(packing, "SWEPT_ROWS", 60)
+    assert {tuple(r) for r in packing.best_fit(pieces, 100).collect()} == one and parts[0] > 3
+
+
 def test_packing_documents(documents, odd):
     out = packing.pack_documents(documents(odd), capacity=64).collect()
     own = Encoder(default_path("word_bpe_49k.json"))
