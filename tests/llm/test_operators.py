@@ -274,12 +274,14 @@ def test_pieces_of_known_runs_cost_no_call(monkeypatch):
 
 
 def test_workers_give_back_what_arrow_holds(monkeypatch):
-    from cartwise.llm import tokens
+    from cartwise.llm import common, tokens
 
     calls = []
+    monkeypatch.setattr(common, "give_back", lambda: calls.append("slices"))
     monkeypatch.setattr(tokens, "give_back", lambda: calls.append("texts"))
     batch = pa.record_batch([pa.array(["x" * 50] * 40)], ["text"])
-    assert sum(b.num_rows for b in tokens.text_slices([batch], 0, 1100)) == 40 and calls == ["texts"] * 2
+    assert sum(b.num_rows for b in common.slices([batch, batch], 15)) == 80 and calls == ["slices"] * 2
+    assert sum(b.num_rows for b in tokens.text_slices([batch], 0, 1100)) == 40 and calls[2:] == ["texts"] * 2
 
 
 def test_long_texts_reach_the_workers_in_small_batches(spark, monkeypatch):
