@@ -52,7 +52,7 @@ class _WordHashes(dict):
         import xxhash
 
         out = xxhash.xxh3_64_intdigest(word)
-        if len(self) >= 200_000:
+        if len(self) >= 50_000:
             self.clear()
         self[word] = out
         return out

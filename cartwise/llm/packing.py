@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cartwise.llm import tokens
-from cartwise.llm.common import stored, text_batches, text_of
+from cartwise.llm.common import give_back, stored, text_batches, text_of
 
 CAPACITY = 4096
 SWEPT_ROWS = 100_000  # items and slots that a task sweeps, about
@@ -42,7 +42,7 @@ def token_pieces(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1,
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = tokens.encoder(path)
+        own = tokens.Encoder(path)
         for batch in tokens.text_slices(batches, 1):
             rows: list[tuple] = []
             flat, ends = own.encode_column(batch.column(1))
@@ -56,7 +56,8 @@ def token_pieces(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1,
             yield pa.record_batch(
                 [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"]
             )
-        own.forget()
+        del own
+        give_back()
 
     text_batches(docs.sparkSession)
     lean = docs.select(F.col("doc_id").cast("long"), text_of().alias("text"))

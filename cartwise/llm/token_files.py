@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartwise.llm import tokens
-from cartwise.llm.common import partitions, text_batches, text_of
+from cartwise.llm.common import give_back, partitions, text_batches, text_of
 
 NO_ID = np.iinfo(np.int64).min
 _BATCH = 8 << 20  # bytes of ids handed over at once
@@ -49,7 +49,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
     path = tokenizer or tokens.default_path("byte_bpe_50k.json")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = tokens.encoder(path)
+        own = tokens.Encoder(path)
         kind = "<u2" if own.vocabulary <= 1 << 16 else "<u4"
         context = TaskContext.get()
         part, attempt = context.partitionId(), context.taskAttemptId()
@@ -68,7 +68,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
             out[1].write(ends.astype("<i8").tobytes())
             out[2].write(batch.column(0).fill_null(NO_ID).to_numpy(zero_copy_only=False).astype("<i8").tobytes())
             total, count = int(ends[-1]), count + batch.num_rows
-        own.forget()
+        del own
+        give_back()
         if out is not None:
             for stream, name in zip(out, names, strict=True):
                 stream.close()

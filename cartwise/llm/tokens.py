@@ -10,7 +10,7 @@ A slice's distinct pieces are cut, as arrays again, into runs of letters, digits
 is what the vocabularies' own patterns do with them. Python looks up each distinct run, and the
 library's model merges those that are not known. Pieces for which that is not sure (other
 scripts, apostrophes, other white space) go to the library whole. A task keeps the runs and such
-pieces it has seen lately, a bounded number of them, and lets go of them at its end.
+pieces it has seen lately, a bounded number of them; its encoder ends with it.
 """
 
 from __future__ import annotations
@@ -20,7 +20,6 @@ import os
 import re
 from array import array
 from collections.abc import Callable, Iterable, Iterator, Sequence
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -112,11 +111,6 @@ class Encoder:
         if len(self.first) > ROOM // 2:
             self.first, self.rest = {}, self.first
 
-    def forget(self) -> None:
-        """Let go of what was seen; the vocabulary stays."""
-        self.first, self.rest = {}, {}
-        give_back()
-
     def _whole(self, pieces: list[str]) -> dict[str, bytes]:
         """The ids (little-endian unsigned 32-bit bytes) of pieces, as words of a pre-split input: one call for many."""
         learned: dict[str, bytes] = {}
@@ -234,9 +228,3 @@ class Encoder:
 
     def encode(self, text: str) -> bytes:
         return self.encode_all([text])[0]
-
-
-@lru_cache(maxsize=1)
-def encoder(path: str) -> Encoder:
-    """One encoder in each worker process, that of the vocabulary asked for last."""
-    return Encoder(path)
